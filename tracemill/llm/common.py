@@ -33,6 +33,7 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of steps that are done
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tracemill_path = path
         return out
@@ -47,21 +48,21 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def ranked(df: DataFrame, scratch: Scratch, keys: list[str], order: list[str], name: str, blocks: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, blocks: int = 1024, attach: DataFrame | None = None) -> DataFrame:
     """df with `name`: a gapless rank from 0 within `keys`, by hash blocks of `order` and by `order` inside a block.
 
     No window holds a whole key: rows are numbered inside (keys, block), and the offsets of the blocks come from counts,
-    of which a key has at most `blocks`. Rows that tie in `order` are interchangeable.
+    of which a key has at most `blocks`. Rows that tie in `order` are interchangeable. `attach` has one row for each key
+    at most; its other columns are added by way of the counts, so that a large key is not gathered for that either.
     """
     df = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
     counts = df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)) if keys else F.lit(0))
-    before = before.select(*[F.col(k).alias(f"_{k}_k") for k in keys], F.col("_block").alias("_block_k"), F.coalesce("_before", F.lit(0)).alias("_before"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    if attach is not None:
+        before = before.join(attach, keys, "left")
     rows = df.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)) - 1)
-    on = F.col("_block") == F.col("_block_k")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}_k"))
-    return rows.join(before, on).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_block", "_block_k", "_before", "_in", *[f"_{k}_k" for k in keys])
+    return rows.join(before, [*keys, "_block"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_block", "_before", "_in")
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

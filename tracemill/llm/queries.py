@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring
+from . import fingerprint, packing, sharding, simhash, substring
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_docs(spark, sf_dir))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_docs(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(_docs(spark, sf_dir))
 
@@ -19,4 +31,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op4_packing, op7_order_minhash, op8_sharding, op9_substring_dedup, op10_simhash)}

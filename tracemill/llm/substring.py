@@ -120,7 +120,7 @@ def _windows(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = _Words(text.encode("utf-8", "surrogatepass").split())
                 a, e1, e2, first, count = anchors(words, length, gram)
                 wanted = {(w["anchor"], w["e1"], w["e2"]) for w in wanted}
@@ -134,7 +134,7 @@ def _windows(length: int, gram: int):
                 n = count[i]
                 at = np.repeat(first[i], n)
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield _batch({"anchor": np.repeat(a[i], n), "e1": np.repeat(e1[i], n), "e2": np.repeat(e2[i], n), "off": off.astype(np.int32), "w1": words.run(at + off, length, 0).view(np.int64), "w2": words.run(at + off, length, 1).view(np.int64)})
+                yield _batch({"low": np.full(len(at), doc), "anchor": np.repeat(a[i], n), "e1": np.repeat(e1[i], n), "e2": np.repeat(e2[i], n), "off": off.astype(np.int32), "w1": words.run(at + off, length, 0).view(np.int64), "w2": words.run(at + off, length, 1).view(np.int64)})
 
     return run
 
@@ -152,8 +152,8 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 50, gram: int = 10)
     whole = extents.where("extents = 1").select("anchor", "e1", "e2", F.array(F.struct(F.lit(0).alias("off"), "n", F.col("low").alias("low"))).alias("runs"))
     ends = extents.where("extents > 1")
     wanted = ends.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "e1", "e2")).alias("wanted"))
-    windows = rows.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_windows(length, gram), "anchor long, e1 long, e2 long, off int, w1 long, w2 long")
-    windows = scratch.save(windows.distinct().join(ends.select("anchor", "e1", "e2", "low"), ["anchor", "e1", "e2"]), "windows")
+    windows = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_windows(length, gram), "low long, anchor long, e1 long, e2 long, off int, w1 long, w2 long")
+    windows = scratch.save(windows, "windows")
     least = windows.groupBy("anchor", "w1", "w2").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").drop("most")
     alone = ends.where("low < high").select("anchor", "e1", "e2", F.struct(F.lit(0).alias("off"), "n", F.col("low")).alias("run"))
     partly = windows.join(least, ["anchor", "w1", "w2"]).where("least < low").select("anchor", "e1", "e2", F.struct("off", F.lit(1).alias("n"), F.col("least").alias("low")).alias("run"))
