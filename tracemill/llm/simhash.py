@@ -227,3 +227,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS, bucket: i
     names = each.groupBy("root").agg(F.min("least").alias("component_id"))
     named = each.join(names, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
+    """The rows of docs, all columns unchanged, with one document of each group of near duplicates: its smallest doc_id.
+
+    Rows that repeat a doc_id count as copies, and one of them stays. Rows with a null doc_id all stay.
+    """
+    found = near_duplicates(docs, words, bits)
+    copies = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
+    stay = Scratch(docs.sparkSession).save(copies.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
+    once = docs.join(stay.where("_rows = 1").select("_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    repeated = stay.where("_rows > 1")
+    whole = once if repeated.isEmpty() else once.union(docs.join(repeated.select("_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]))
+    return whole.union(docs.where("doc_id is null"))
