@@ -237,7 +237,8 @@ def keep_one(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
     found = near_duplicates(docs, words, bits)
     copies = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
     stay = Scratch(docs.sparkSession).save(copies.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
-    once = docs.join(stay.where("_rows = 1").select("_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    # the ids that stay grow with the table: they are never broadcast
+    once = docs.join(stay.where("_rows = 1").select("_kept").hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
     repeated = stay.where("_rows > 1")
     whole = once if repeated.isEmpty() else once.union(docs.join(repeated.select("_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]))
     return whole.union(docs.where("doc_id is null"))
