@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,18 @@ def query(sql: str | None = None):
     return add
 
 
+def both(name: str, sql: str, duck: str | None = None) -> None:
+    """Register SQL whose {table} names stand for driver tables; `duck` where the dialects differ."""
+    tables = sorted(set(re.findall(r"{(\w+)}", sql)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = re.sub(r"{(\w+)}", r"\1", duck or sql)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
