@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import likeness
 from .common import Scratch, components, documents
 
 BITS = 4
@@ -242,3 +243,12 @@ def keep_one(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
     repeated = stay.where("_rows > 1")
     whole = once if repeated.isEmpty() else once.union(docs.join(repeated.select("_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]))
     return whole.union(docs.where("doc_id is null"))
+
+
+def keep_distinct(docs: DataFrame, words: int = 4, bits: int = BITS, least: float = likeness.LEAST) -> DataFrame:
+    """`keep_one`, and of what it keeps no document whose five-word shingles have a likeness of `least` or more to a
+    smaller doc_id's. Rows with a null doc_id all stay; an empty table gives an empty result."""
+    scratch = Scratch(docs.sparkSession)
+    once = scratch.save(keep_one(docs, words, bits), "once")
+    near = scratch.save(likeness.copies(once, scratch, least).select(F.col("doc_id").alias("_near")), "near")
+    return once.join(near.hint("merge"), F.col("doc_id").cast("long") == F.col("_near"), "left_anti")
