@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracemill.plans import catalogue, ordered, reports, texts  # noqa: F401
+from tracemill.plans import catalogue, ordered, reports, texts, training  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 
