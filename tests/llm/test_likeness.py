@@ -54,3 +54,19 @@ def test_keep_distinct_drops_edited_copies(spark):
     assert out.columns == docs.columns and sum(i is None for i, _ in kept) == 2
     named = [(i, s) for i, s in kept if i is not None]
     assert not [(i, j) for i, s in named for j, t in named if i < j and _near(s, t)]
+
+
+def test_every_pair_of_a_crowded_bucket_is_compared(spark):
+    r = np.random.default_rng(8)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    template = [word() for _ in range(120)]
+    texts = [" ".join([*template, *(word() for _ in range(20))]) for _ in range(60)]
+    twins = range(0, 30, 3)
+    texts += [" ".join([*texts[i].split()[:-2], word(), word()]) for i in twins]
+    docs = spark.createDataFrame([(i, t, "k", "a", "n", "d") for i, t in enumerate(texts)], SCHEMA)
+    sets = [likeness.shingles(t) for t in texts]
+    assert sum(_near(a, b) for i, a in enumerate(sets) for b in sets[:i]) == len(twins)
+    assert {r.doc_id for r in likeness.copies(docs, Scratch(spark)).collect()} == {60 + k for k in range(len(twins))}
+    for block in (likeness.BLOCK, 8):
+        found = likeness.links(docs, Scratch(spark), block=block).collect()
+        assert {(max(x), min(x)) for x in found} == {(60 + k, i) for k, i in enumerate(twins)}
