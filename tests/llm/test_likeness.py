@@ -70,3 +70,18 @@ def test_every_pair_of_a_crowded_bucket_is_compared(spark):
     for block in (likeness.BLOCK, 8):
         found = likeness.links(docs, Scratch(spark), block=block).collect()
         assert {(max(x), min(x)) for x in found} == {(60 + k, i) for k, i in enumerate(twins)}
+
+
+def test_keep_distinct_follows_chains(spark):
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    texts = []
+    for _ in range(6):
+        w = [word() for _ in range(300)]
+        for at in (0, 70, 140, 210, 250):  # each version edits the one before
+            texts.append(" ".join(w))
+            w = [*w[:at], *(word() for _ in range(22)), *w[at + 22 :]]
+    sets = [likeness.shingles(t) for t in texts]
+    assert all(_near(sets[i], sets[j]) == (i // 5 == j // 5 and i - j == 1) for i in range(30) for j in range(i))
+    docs = spark.createDataFrame([(i, t, "k", "a", "n", "d") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.keep_distinct(docs).collect()) == list(range(0, 30, 5))

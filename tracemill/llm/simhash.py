@@ -246,9 +246,24 @@ def keep_one(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
 
 
 def keep_distinct(docs: DataFrame, words: int = 4, bits: int = BITS, least: float = likeness.LEAST) -> DataFrame:
-    """`keep_one`, and of what it keeps no document whose five-word shingles have a likeness of `least` or more to a
-    smaller doc_id's. Rows with a null doc_id all stay; an empty table gives an empty result."""
+    """The rows of docs, all columns unchanged, with the smallest doc_id of each group that fingerprints within `bits`, and
+    five-word shingles with a likeness of `least` or more, connect.
+
+    Documents that go still connect others. Of rows that repeat a doc_id one stays at most, and its shingles count. Rows
+    with a null doc_id all stay; an empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession)
-    once = scratch.save(keep_one(docs, words, bits), "once")
-    near = scratch.save(likeness.copies(once, scratch, least).select(F.col("doc_id").alias("_near")), "near")
-    return once.join(near.hint("merge"), F.col("doc_id").cast("long") == F.col("_near"), "left_anti")
+    found = near_duplicates(docs, words, bits).where("doc_id is not null")
+    roots = scratch.save(found.groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count(F.lit(1)).alias("rows")), "roots")
+    rows, own = docs.where("doc_id is not null"), F.col("doc_id").cast("long")
+    repeated = roots.where("rows > 1").select(F.col("doc_id").alias("_again"))
+    if not repeated.isEmpty():
+        again = scratch.save(rows.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]), "again")
+        rows = rows.join(repeated, own == F.col("_again"), "left_anti").union(again)
+    near = likeness.links(rows, scratch, least, roots)
+    left, right = (roots.select(F.col("doc_id").alias(end), F.col("root").alias(to)) for end, to in (("a", "u"), ("b", "v")))
+    merged = components(near.join(left, "a").join(right, "b").select("u", "v"), scratch, "u", "v")
+    gone = merged.where("node <> root").select(F.col("node").alias("doc_id"))
+    stay = scratch.save(roots.where("doc_id = root").join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("_kept")), "kept")
+    # the ids that stay grow with the table: they are never broadcast
+    return rows.join(stay.hint("merge"), own == F.col("_kept"), "left_semi").union(docs.where("doc_id is null"))
