@@ -194,6 +194,20 @@ def test_one_text_in_most_rows(spark):
     assert sorted(counts.values()) == [37] * 4 + [38] * 4
 
 
+def test_few_texts_are_split_beside_a_hot_one(spark):
+    for hot in (1600, 0):
+        rows = [(i, "same" if i < hot else f"pair{(i - hot) // 2}" if hot == 0 or i < hot + 1600 else f"t{i}") for i in range(4800)]
+        r = np.random.default_rng(1).permutation(len(rows))
+        table = spark.createDataFrame([(int(k), rows[i][1]) for i, k in enumerate(r)], "doc_id long, text string")
+        text = dict((d.doc_id, d.text) for d in table.collect())
+        held, counts = collections.defaultdict(set), collections.Counter()
+        for x in sharding.shard(table).collect():
+            held[text[x.doc_id]].add(x.shard)
+            counts[x.shard] += 1
+        assert sorted(counts.values()) == [600] * 8
+        assert sum(len(s) > 1 for t, s in held.items() if t != "same") == 0
+
+
 def test_substring_brute_force(docs):
     found = {}
     for i, t in TEXTS:

@@ -3,11 +3,14 @@
 Documents with equal texts are linked. Documents of one text in one shard are interchangeable, so they move as a counted
 unit (text, shard, n): a group of any size is at most `shards` rows. In each round a unit looks, by a join over its text,
 for the shard that holds most of its neighbours and has room, and the wish is granted in the proportion that the shard's
-quota allows. Documents without links then fill every shard to its exact share.
+quota allows. Texts that are still split after these rounds are laid whole, largest first, into the room that is left; if
+some do not fit so, all linked texts are. Documents without links then fill every shard to its exact share.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,53 @@ def _propagate(units: DataFrame, quota: list[int], scratch: Scratch, rounds: int
     return units
 
 
+def _poured(sizes: dict[int, int], gaps: list[int]) -> tuple[list[dict], int]:
+    """Ranges of ranks among the texts of n rows, each with the places (shard, rows) of its texts, and how many texts are
+    split: those that fit no shard whole, which share what the others leave. These are fewer than shards."""
+    gaps, out, split = list(gaps), [], []
+    for n, count in sorted(sizes.items(), reverse=True):
+        low = 0
+        for s in range(len(gaps)):
+            k = min(count - low, max(0, gaps[s]) // n)
+            if k:
+                out.append({"all": n, "low": low, "high": low + k, "places": [{"shard": s, "n": n}]})
+                gaps[s] -= k * n
+                low += k
+        split += [(n, rank) for rank in range(low, count)]
+    for n, rank in split:
+        places, left = [], n
+        for s in sorted(range(len(gaps)), key=lambda s: -gaps[s]):
+            k = min(left, max(0, gaps[s]))
+            if k:
+                places.append({"shard": s, "n": k})
+                gaps[s] -= k
+                left -= k
+        out.append({"all": n, "low": rank, "high": rank + 1, "places": places})
+    return out, len(split)
+
+
+def _gathered(units: DataFrame, quota: list[int], scratch: Scratch) -> DataFrame:
+    """Units with no text split that can be whole. Only totals, and counts of texts by size, come to the driver."""
+    texts = scratch.save(units.groupBy(*GROUP).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")), "texts")
+    sizes = lambda t: {r["all"]: r["n"] for r in t.groupBy("all").agg(F.count(F.lit(1)).alias("n")).collect()}
+    moving = texts.where((F.col("parts") > 1) & (F.col("all") <= max(quota)))
+    counts = sizes(moving)
+    held = {r["shard"]: r["n"] for r in units.join(moving.select(*GROUP), GROUP, "left_anti").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    gaps = [q - held.get(s, 0) for s, q in enumerate(quota)]
+    places, split = _poured(counts, gaps)
+    if split or min(gaps, default=0) < 0:
+        moving = texts
+        places, _ = _poured(sizes(texts), quota)
+    if not places:
+        return units
+    table = units.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(places)), "array<struct<all: bigint, low: bigint, high: bigint, places: array<struct<shard: int, n: bigint>>>>")).alias("p")).select("p.*")
+    order = ranked(moving.select(*GROUP, "all"), ["all"], GROUP, "rank")
+    order = order.join(F.broadcast(table), "all").where("rank >= low and rank < high")
+    new = order.select(*GROUP, F.explode("places").alias("p")).select(*GROUP, "p.shard", "p.n")
+    stay = units.join(moving.select(*GROUP), GROUP, "left_anti").select(*GROUP, "shard", "n")
+    return scratch.save(stay.union(new), "gathered")
+
+
 def _by_range(rank: Column, counts: list[int]) -> Column:
     """The place of the range, of the given lengths in order, that a rank from 0 falls in."""
     ends, total = [], 0
@@ -67,7 +117,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int")
     counted = rows.groupBy(*GROUP, start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     linked = counted.groupBy(*GROUP).agg(F.sum("n").alias("all")).where("all > 1").select(*GROUP)
-    units = _propagate(counted.join(linked, GROUP), quota, scratch, rounds)
+    units = _gathered(_propagate(counted.join(linked, GROUP), quota, scratch, rounds), quota, scratch)
     plan = units.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("plan"))
     placed = ranked(rows, GROUP, ["doc_id"], "at", attach=plan)
     # the place of a rank in its text's plan: as many entries as end at or before it
