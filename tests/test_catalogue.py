@@ -50,6 +50,20 @@ def test_chain_matches_a_fold(spark):
     assert fold_chain(rows, "k", "o", F.col("p")).first()["head"] == link
 
 
+def test_chains_of_all_customers_equal_a_walk(spark, duck):
+    orders = duck.sql("SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2").fetchall()
+    after = {a[1]: b[1] for a, b in zip(orders, orders[1:]) if a[0] == b[0]}
+    want = {}
+    for head in {k for _, k in orders} - set(after.values()):
+        at, want[head] = head, 1
+        while at in after:
+            at, want[head] = after[at], want[head] + 1
+    got = {r["head"]: r["links"] for r in catalogue.QUERIES["linked_chain_all"](spark, str(SF)).collect()}
+    assert got == want and sum(got.values()) == len(orders)
+    part = {r["head"]: r["links"] for r in catalogue.QUERIES["linked_chain"](spark, str(SF)).collect()}
+    assert part.items() < got.items()
+
+
 def test_streams_equal_batches(spark):
     names = {"stream_journal", "stream_kv"}
     assert names <= set(catalogue.QUERIES) and names <= set(catalogue.ORACLES)

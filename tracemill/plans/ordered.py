@@ -33,6 +33,10 @@ walk(head, at_key, next_key, depth) AS (SELECT o_orderkey, o_orderkey, next_key,
 SELECT head, CAST(MAX(depth) AS BIGINT) AS links FROM walk GROUP BY head""",
 )
 
+# the chains of all customers, numbered by a window: the walk above takes customers up to 20 only
+IN_CHAIN = "OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"
+both("linked_chain_all", f"SELECT head, CAST(MAX(k) AS BIGINT) AS links FROM (SELECT FIRST_VALUE(o_orderkey) {IN_CHAIN} AS head, ROW_NUMBER() {IN_CHAIN} AS k FROM {{orders}}) GROUP BY head")
+
 
 @query()
 def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
