@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 
 from tracemill.llm import decontam, fingerprint, packing, pii, quality, sharding, simhash, substring, tokencount, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, key string, g string, shard string, fp long, n_chars long"
+SCHEMA = "doc_id long, text string, lang string, key string, g string, shard string, fp long, n_chars long, _kept long, kept long"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(6000))
 PASSAGE = " ".join(f"shared{i}" for i in range(70))
 TEXTS = [
@@ -23,7 +24,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, "en", "k", "g", "s", 7, 0) for i, t in TEXTS], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "k", "g", "s", 7, 0, 1, 2) for i, t in TEXTS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +58,25 @@ def test_quality_separates_classes():
     assert ((p[1::2] >= 0.5) == (y[1::2] == 1)).mean() > 0.97
 
 
+def test_quality_is_the_difference_of_two_gaussian_log_densities():
+    r = np.random.default_rng(7)
+    d = len(quality.NAMES)
+    mix = r.normal(size=(d, d))
+    x = np.concatenate([r.normal(size=(300, d)) @ mix, 1 + r.normal(size=(200, d))])
+    y = np.array([0] * 300 + [1] * 200)
+    model = quality.fit(x, y)
+    z = (x - model.center) / model.scale
+    want = []
+    parts = [z[y == 0], z[y == 1]]
+    common = sum(len(p) * np.cov(p.T, bias=True) for p in parts) / len(z)
+    for p in parts:
+        c = 0.7 * np.cov(p.T, bias=True) + 0.3 * common
+        c = 0.95 * c + 0.05 * np.trace(c) / d * np.eye(d) + 1e-6 * np.eye(d)
+        away = z - p.mean(axis=0)
+        want.append(-0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away) - 0.5 * np.linalg.slogdet(c)[1])
+    assert np.allclose(quality._difference(x, model), want[1] - want[0], rtol=1e-8, atol=1e-6)
+
+
 def test_token_counts_equal_the_tokenizer(docs):
     import public_tokenizers
     from tokenizers import Tokenizer, models, pre_tokenizers
@@ -88,6 +108,23 @@ def test_toxicity_rows(docs, labels):
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxic_documents_go(docs, labels):
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model).collect()
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(r.doc_id for r in scored if not r.predicted)
+
+
+def test_toxic_grams_stand_out_against_chance():
+    plain = ["all words are plain here", "plain words all"] * 20
+    grams = toxicity.toxic_grams(["such a moron here"] * 6 + ["plain"] * 4, plain)
+    assert b"moron" in grams and b"plain" not in grams and b"words" not in grams
+    assert toxicity.passages("Moronic, but plain", grams) == [b" moronic"]
+    base, both = toxicity.dictionaries(["a moron"] * 9 + plain, [1] * 9 + [0] * 40)
+    assert both.endswith(base) and b"moron" in both and b"moron" not in base
+
+
 def test_packing_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -121,6 +158,78 @@ def test_packing_odd_white_space():
         assert e.encode(x) == np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_letters_before_marks():
+    import unicodedata
+
+    with open(packing.vocabulary(), encoding="utf-8") as f:
+        e = packing.Encoder(f.read())
+    odd = [c for c in map(chr, range(0x110000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+    rest = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha()][:: 997]
+    assert "İ" in odd
+    words = [stem + m for c in odd + rest for stem in (c, "a" + c, c + "b") for m in packing.Encoder.MARKS]
+    for word, want in zip(words, e.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+        assert e.encode(word) == np.array(want.ids, "<u4").tobytes(), word
+
+
+def test_packing_of_other_tokenizers(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    pieces = collections.defaultdict(list)
+    for r in packing.pack(docs, path, window=512, with_ids=True).collect():
+        pieces[r.doc_id].append(r)
+    for i, x in TEXTS:
+        if sum(j == i for j, _ in TEXTS) == 1:
+            assert [k for r in sorted(pieces[i], key=lambda r: r.start) for k in r.ids] == t.encode(x or "", add_special_tokens=False).ids + [2]
+
+
+def test_packing_rule_places_most_tokens():
+    r = np.random.default_rng(6)
+    sizes = np.exp(r.normal(6, 1.3, 3000)).astype(int) + 1
+    for parts in (1, 10):
+        poured = 0
+        for at in range(parts):
+            packer, seen = packing.Packer(), collections.Counter()
+            for doc in range(at, len(sizes), parts):
+                for pieces in packer.add(doc, bytes(4 * int(sizes[doc]))):
+                    assert sum(len(i) // 4 for _, _, i in pieces) == packing.WINDOW
+                    seen.update({d: len(i) // 4 for d, _, i in pieces})
+            for pieces in packer.pour():
+                n = sum(len(i) // 4 for _, _, i in pieces)
+                poured += n
+                assert n == packing.WINDOW or n & (n - 1) == 0
+        assert poured < 0.1 * sizes.sum()
+
+
+def test_packing_takes_the_level_of_the_smallest_sum_of_squares():
+    r = np.random.default_rng(9)
+    packer = packing.Packer(window=320, levels=10)
+    for doc in range(400):
+        size = int(r.integers(1, 320))
+        before = packer.counts.copy()
+        q, options = (size + 16) // 32, []
+        for level in [*range(9, -1, -1), None]:
+            after = before.copy()
+            if level is not None:
+                if not before[level] or level * 32 + size >= 352:
+                    continue
+                after[level] -= 1
+            to = (level or 0) + q if level is not None else min(q, 9)
+            if to < 10:
+                after[to] += 1
+            options.append(((after**2).sum(), level))
+        pieces, _ = packer._take(size)
+        taken = np.nonzero(before - packer.counts)[0].tolist()
+        best = min(options, key=lambda o: o[0])
+        assert taken == ([] if best[1] is None else [best[1]]) and bool(pieces) == bool(taken)
+        if taken:  # put it back, then place as usual
+            packer.open[taken[0]].append((pieces, taken[0] * 32 + 1))
+            packer.counts[taken[0]] += 1
+        list(packer.add(doc, bytes(4 * size)))
+
+
 def _plain_spans(text):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     out = []
@@ -144,6 +253,34 @@ def test_pii_base_spans_equal_plain_patterns(docs):
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_pii_reliabilities_are_recovered():
+    r = np.random.default_rng(3)
+    right = {"y": [0.95, 0.9, 0.8, 0.8], "n": [0.9, 0.95, 0.8, 0.85]}
+    counts = collections.Counter()
+    for _ in range(40_000):
+        true = r.random() < 0.4
+        vote = "".join(("y" if (r.random() < p) == true else "n") if r.random() < 0.9 else "-" for p in right["y" if true else "n"])
+        counts[vote, False] += 1
+    share, table = pii.reliabilities(counts)
+    assert abs(share - 0.4) < 0.03
+    assert np.allclose(table[1, :, 0], right["y"], atol=0.05) and np.allclose(table[0, :, 1], right["n"], atol=0.05)
+    assert pii.posterior("yyyy", share, table) > 0.99 and pii.posterior("nnnn", share, table) < 0.01
+
+
+def test_pii_classifier_follows_the_votes():
+    good, bad = [4, 6, 2, 0, 2, 0, 3], [5, 3, 4, 0, 0, 0, 2]
+    weights = pii.classifier([("yyyyy-", good, False, 60), ("nnnnn-", bad, False, 60), ("yy--y-", [0, 3, 1, 0, 2, 0, 2], True, 30)])
+    assert pii._accepts(weights, good) and not pii._accepts(weights, bad)
+
+
+def test_pii_adds_spans_beside_the_base(spark):
+    secrets = [f"token = {hashlib.sha1(str(i).encode()).hexdigest()} and mail a{i}@b.org" for i in range(40)]
+    plain = [f"order {i} took 16 days and 1234567890123 steps" for i in range(40)]
+    rows = pii.find(spark.createDataFrame(list(enumerate(secrets + plain)), "doc_id long, text string")).collect()
+    assert all(r.n_email == (r.doc_id < 40) for r in rows)
+    assert all(("secret:8:48" in r.spans.split(",")) == (r.doc_id < 40) for r in rows) and all(r.n_added == (r.doc_id < 40) for r in rows)
+
+
 def test_pii_redacts_and_keeps_rows(docs):
     rows = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert rows[11].text.startswith("Call [PHONE], card [CARD], ip [IP] and 999.") and rows[11].n_chars == len(rows[11].text)
@@ -161,6 +298,38 @@ def test_decontamination(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, 6, 10, 11, 12, 15, 16}
 
 
+def _alignments(item, doc):
+    """Most matching tokens at which a whole item can be laid against a document."""
+    return max((sum(a == b for a, b in zip(item, doc[i : i + len(item)])) for i in range(len(doc) - len(item) + 1)), default=0)
+
+
+def test_decontamination_recall_against_all_alignments():
+    r = np.random.default_rng(12)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 5))
+    items = [[word() for _ in range(int(r.integers(12, 60)))] for _ in range(60)]
+    table = decontam.Table([(i, " ".join(t)) for i, t in enumerate(items)])
+    found = wanted = 0
+    for i, item in enumerate(items):
+        for share in (0.0, 0.05, 0.1, 0.2):
+            w = [word() if r.random() < share else x for x in item]
+            doc = [word() for _ in range(30)] + w + [word() for _ in range(30)]
+            got = {o[0] for o in table.overlaps(" ".join(doc))}
+            assert got <= {i}
+            if _alignments(item, doc) >= 0.8 * len(item):
+                wanted += 1
+                found += i in got
+        assert not table.overlaps(" ".join(word() for _ in range(100)))
+    assert wanted > 150 and found >= 0.97 * wanted
+
+
+def test_decontamination_of_repeated_tokens():
+    table = decontam.Table([(1, "la " * 400), (2, "do re " * 200), (3, "other words " + " ".join(f"w{i}" for i in range(30)))])
+    began = time.time()
+    got = {o[0]: o for o in table.overlaps("la " * 8000 + "do re " * 3000)}
+    assert time.time() - began < 10 and set(got) == {1, 2}
+    assert got[1][1:] == (400, 400, 0, 0) and got[2][1:] == (400, 400, 8000, 0)
+
+
 def test_fingerprints(docs):
     texts = {}
     for i, t in TEXTS:
@@ -174,7 +343,50 @@ def test_fingerprints(docs):
         assert rows[i].edited_sha256 == hashlib.sha256((own[: len(own) - third] + following[:third]).encode()).hexdigest()
         assert rows[i].n_chars == len(own) and 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
     assert rows[0].fingerprint == rows[14].fingerprint and rows[6].fingerprint == rows[16].fingerprint
-    assert rows[6].near_edited > 0.3 and rows[15].near_next == 0 or rows[16].near_next > 0.8
+    assert rows[6].near_edited > 0.3 and rows[15].near_next < 0.2 and rows[16].near_next > 0.8
+
+
+def test_fingerprints_keep_order(spark):
+    r = np.random.default_rng(2)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 5))
+    rows, truth = [], {}
+    for n in (24, 60, 800):
+        for _ in range(12):
+            w, o = [word() for _ in range(n)], [word() for _ in range(n)]
+            kinds = {"same": w, "other": o, "swap": w[n // 2 :] + w[: n // 2], "back": w[::-1], "third": w[: n - n // 3] + o[: n // 3], "tenth": w[: n - n // 10] + o[: n // 10]}
+            rows += [(n, k, " ".join(w), " ".join(x)) for k, x in kinds.items()]
+    got = spark.createDataFrame(rows, "n int, kind string, a string, b string")
+    got = got.select("n", "kind", "a", "b", fingerprint.order_minhash(got.a).alias("x"), fingerprint.order_minhash(got.b).alias("y"))
+    got = got.select("*", fingerprint.likeness(got.x, got.y).alias("likeness")).collect()
+    mean = {(n, k): np.mean([g.likeness for g in got if (g.n, g.kind) == (n, k)]) for n in (24, 60, 800) for k in ("same", "other", "swap", "back", "third", "tenth")}
+    for n in (24, 60, 800):
+        assert mean[n, "same"] == 1 and mean[n, "other"] < 0.02 and mean[n, "back"] < 0.05
+        assert abs(mean[n, "swap"] - 0.5) < 0.12 and abs(mean[n, "third"] - 0.66) < 0.08 and abs(mean[n, "tenth"] - 0.88) < 0.08
+
+
+def test_fingerprint_points_agree_as_brute_force(spark):
+    """The share of points that agree, against sketches built element by element with another hash."""
+    r = np.random.default_rng(4)
+    words = ["a", "b", "c", "d"] * 30 + [f"w{i}" for i in range(80)]
+
+    def sketch(w, seed):
+        seen, elements = collections.Counter(), []
+        for i, p in enumerate(zip(w, w[1:])):
+            elements.append((int.from_bytes(hashlib.md5(f"{seed}{p}{seen[p]}".encode()).digest()[:8], "big"), i, (p, seen[p])))
+            seen[p] += 1
+        low = sorted(sorted(elements)[:2], key=lambda e: e[1])
+        return [e[2] for e in low]
+
+    rows = []
+    for _ in range(16):
+        w = list(r.permutation(words))
+        at = int(r.integers(20, 120))
+        v = w[:at] + ["new"] * 10 + w[at + 5 :]
+        rows.append((" ".join(w), " ".join(v), float(np.mean([sketch(w, k) == sketch(v, k) for k in range(64)]))))
+    got = spark.createDataFrame(rows, "a string, b string, want double")
+    got = got.select("want", fingerprint.order_minhash(got.a).alias("x"), fingerprint.order_minhash(got.b).alias("y")).collect()
+    share = [np.mean([g.x[i : i + 4] == g.y[i : i + 4] for i in range(0, 256, 4)]) for g in got]
+    assert abs(np.mean(share) - np.mean([g.want for g in got])) < 0.08
 
 
 def test_shards(docs):
@@ -208,6 +420,31 @@ def test_few_texts_are_split_beside_a_hot_one(spark):
         assert sum(len(s) > 1 for t, s in held.items() if t != "same") == 0
 
 
+def test_cut_is_as_small_as_any_plan_can_make_it(spark):
+    for sizes, shards in (([5, 4, 3, 3, 2, 2, 2, 1, 1, 1], 3), ([9, 2, 2, 2, 1, 1, 1], 3), ([4, 4, 4], 3)):
+        rows = [(i, f"t{k}") for i, k in enumerate(np.random.default_rng(3).permutation(np.repeat(range(len(sizes)), sizes)))]
+        got = sharding.shard(spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string"), shards).collect()
+        text = dict(rows)
+        split = sum(len({x.shard for x in got if text[x.doc_id] == f"t{k}"}) > 1 for k in range(len(sizes)))
+        total = sum(sizes)
+        quota = [total // shards + (s < total % shards) for s in range(shards)]
+
+        def fewest(left, at):
+            if at == len(sizes):
+                return 0
+            whole = [fewest((*left[:s], left[s] - sizes[at], *left[s + 1 :]), at + 1) for s in range(shards) if left[s] >= sizes[at]]
+            return min([*whole, 1 + fewest(left, at + 1)])  # a split text may use any room: a lower bound
+
+        assert split <= fewest(tuple(quota), 0) + (max(sizes) > max(quota))
+
+
+def test_repeats_go(docs):
+    digest = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.removal_digests(docs).collect())
+    kept = substring.remove_repeats(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in kept) == digest
+    assert all(len(r.kept.split()) == r.n_words - r.n_removed for r in kept) and sum(r.n_removed > 0 for r in kept) >= 3
+
+
 def test_substring_brute_force(docs):
     found = {}
     for i, t in TEXTS:
@@ -237,7 +474,7 @@ def test_golay_keys_lose_no_pair():
 @pytest.mark.parametrize("bucket", [4096, 2])
 def test_near_duplicates_brute_force(spark, docs, bucket):
     base = LONG.split()
-    more = spark.createDataFrame([(100 + i, " ".join(base[:2000] + [f"v{i}"] * (i % 7)), "en", "k", "g", "s", 0, 0) for i in range(40)], SCHEMA)
+    more = spark.createDataFrame([(100 + i, " ".join(base[:2000] + [f"v{i}"] * (i % 7)), "en", "k", "g", "s", 0, 0, 1, 2) for i in range(40)], SCHEMA)
     rows = simhash.near_duplicates(docs.union(more), bucket=bucket).collect()
     f = np.array([int(r.fingerprint, 16) for r in rows], dtype=np.uint64)
     label = list(range(len(f)))
@@ -255,8 +492,29 @@ def test_near_duplicates_brute_force(spark, docs, bucket):
     assert kept.count(9) == 1 and 14 not in kept and 16 not in kept and {0, 6, None} <= set(kept)
 
 
-def test_pipeline_runs(spark):
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "pii", "packing"]
+    first = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = lambda d: collections.Counter(r.doc_id for r in d.select("doc_id").collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir).cache()
+        assert after.columns == docs.columns and ids(after) <= ids(docs), name
+        assert name != "pii" or ids(after) == ids(docs)
+        docs = after
+    assert 0 < docs.count() < first.count()
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in pieces} == set(ids(docs))
+    filled = collections.Counter()
+    for r in pieces:
+        filled[r.sequence_id] += r.length
+    assert all(n == 4096 or n & (n - 1) == 0 for n in filled.values())
+
+
+def test_pipeline_stages_of_no_rows(spark, none):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "pii", "packing"]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "/root/testdata/sf0.001").collect() == [], name

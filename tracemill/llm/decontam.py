@@ -3,14 +3,14 @@
 A mask chooses some of the tokens of a short span and ignores the rest, so a few substituted tokens leave some mask's
 hash as it was. The hashes of all benchmark spans form a table that is joined, as a broadcast, with the hashes of every
 span of every document. Around each hit the two token runs are laid side by side, and the best stretch (1 for a match,
--3 for a difference) must hold enough matches. A benchmark beyond `BLOCK_BYTES` is taken in blocks of that size, each
+-3 for a difference) must hold enough matches; or the whole item lies in the document with most of its tokens matching,
+which also finds short items with a few tokens changed. A benchmark beyond `BLOCK_BYTES` is taken in blocks of that size, each
 against all documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +25,8 @@ MASKS = ("110110101101", "111001011011", "101111000111", "111100111001")
 SPAN = 12
 #: Matching tokens that an overlap needs (an item with fewer tokens: all of them).
 LEAST = 13
+#: Share of an item's tokens that must match where the whole item is laid against a document (items of a span or more).
+SHARE = 0.8
 BLOCK_BYTES = 16 << 20
 _TOKEN = re.compile(r"\w+")
 _ODD = 0x9E3779B97F4A7C15  # fixed value: odd multiplier
@@ -79,38 +81,64 @@ class Table:
         self.prefix = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.prefix[(self.keys >> self.shift).astype(np.int64)] = True
 
-    def hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
-        """(item's place, start of the item relative to the document) of all equal span hashes."""
-        found = set()
+    def hits(self, tokens: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item's place, the starts of the item relative to the document at which some span hash is equal.
+
+        Starts are marked, not listed by pair of places: a document and an item that repeat one span meet at no more
+        starts than they have tokens together, however many pairs of places agree.
+        """
+        marks: dict[int, np.ndarray] = {}
         for mask, salt in self.masks:
             h = spans(tokens, mask, salt)
             at = np.nonzero(self.prefix[(h >> self.shift).astype(np.int64)])[0]
-            if len(at):
-                low = np.searchsorted(self.keys, h[at], "left")
-                high = np.searchsorted(self.keys, h[at], "right")
-                for i, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                    found.update((int(self.item[j]), i - int(self.place[j])) for j in range(a, b))
-        return found
+            low, high = (np.searchsorted(self.keys, h[at], side) for side in ("left", "right"))
+            at, low, high = at[high > low], low[high > low], high[high > low]
+            if not len(at):
+                continue
+            order = np.argsort(low, kind="stable")
+            cut = np.nonzero(np.diff(low[order], prepend=-1))[0].tolist()
+            for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+                own = at[order[a:b]]
+                for j in range(low[order[a]], high[order[a]]):
+                    item = int(self.item[j])
+                    if item not in marks:
+                        marks[item] = np.zeros(len(self.tokens[item]) + len(tokens), dtype=bool)
+                    marks[item][own - self.place[j] + len(self.tokens[item])] = True
+        return {item: np.nonzero(m)[0] - len(self.tokens[item]) for item, m in marks.items()}
 
     def overlaps(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item id, matching tokens, length, start in the document, start in the item): the best overlap of each item."""
         if not len(self.keys):
             return []
         tokens = hashes(text)
-        best: dict[int, tuple] = {}
-        for item, shift in self.hits(tokens):
-            own = self.tokens[item]
-            low, high = max(0, -shift), min(len(own), len(tokens) - shift)
-            same = own[low:high] == tokens[low + shift : high + shift]
-            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-            floor = np.minimum.accumulate(total)
-            end = int((total - floor).argmax())
-            start = int(total[: end + 1].argmin())
-            matches = int(same[start:end].sum())
-            if matches >= self.need[item]:
-                row = (matches, -(end - start), -(low + start + shift), -(low + start))
-                best[item] = max(best.get(item, row), row)
-        return sorted((self.ids[i], m, -n, -d, -b) for i, (m, n, d, b) in best.items())
+        out = []
+        for item, shifts in self.hits(tokens).items():
+            size = max(1, (1 << 20) // len(self.tokens[item]))
+            best = max((x for at in range(0, len(shifts), size) if (x := self._best(item, tokens, shifts[at : at + size]))), default=None)
+            if best:
+                m, n, d, b = best
+                out.append((self.ids[item], m, -n, -d, -b))
+        return sorted(out)
+
+    def _best(self, item: int, tokens: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int, int] | None:
+        """(matches, -length, -start in the document, -start in the item) of the best overlap at these starts."""
+        own = self.tokens[item]
+        place = shifts[:, None] + np.arange(len(own))
+        inside = (place >= 0) & (place < len(tokens))
+        same = inside & (own == tokens[np.clip(place, 0, len(tokens) - 1)])
+        # beyond the document's ends a stretch neither gains nor goes on
+        total = np.cumsum(np.where(same, 1, -3), axis=1)
+        total = np.concatenate([np.zeros((len(shifts), 1), dtype=total.dtype), total], axis=1)
+        floor = np.minimum.accumulate(total, axis=1)
+        end = (total - floor).argmax(axis=1)
+        start = np.where(np.arange(total.shape[1]) <= end[:, None], total, total.max() + 1).argmin(axis=1)
+        seen = np.concatenate([np.zeros((len(shifts), 1), dtype=np.int64), np.cumsum(same, axis=1)], axis=1)
+        row = np.arange(len(shifts))
+        found = [(int(m), a - e, -(a + s), -a) for m, a, e, s in zip(seen[row, end] - seen[row, start], start.tolist(), end.tolist(), shifts.tolist(), strict=True) if m >= self.need[item]]
+        if len(own) >= SPAN:
+            for i in np.nonzero(inside.all(axis=1) & (seen[:, -1] >= SHARE * len(own)))[0].tolist():
+                found.append((int(seen[i, -1]), -len(own), -int(shifts[i]), 0))
+        return max(found, default=None)
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -148,7 +176,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_bytes
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns unchanged, that overlap no benchmark item."""
+    """The rows of docs, all columns unchanged, that overlap no benchmark item.
+
+    Null text counts as empty and overlaps nothing. Rows that repeat go or stay together, a null doc_id makes no
+    difference; without benchmark items all rows stay, and an empty table gives an empty result.
+    """
     at = docs.columns.index("text")
     for items in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)

@@ -1,8 +1,10 @@
 """Order MinHash fingerprints, in DataFrame operations only.
 
-A text's elements are its pairs of adjoining words, each numbered by occurrence. One hash deals the elements to bins, and
-in each bin the elements with the smallest hashes are selected, kept in text order and hashed as a tuple. Two texts agree
-in a bin if they share the selected elements and their order, which edits that move text break as well.
+A text's elements are its pairs of adjoining words, each numbered by occurrence. One hash lays the elements on a circle, and
+each of 64 points of the circle selects the two elements that come next: the two smallest under that rotation of the hash.
+They are kept in text order, and the fingerprint has one tuple hash for each point: 15 bits for the two elements and one for
+their order. Two texts agree at a point if they share the selected elements and their order, which edits that move text
+break as well. The 64 tuples of a text come from one sort of its elements.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from .common import Scratch, documents
 
 BINS = 64
 _DIGITS = 4
-_PLACE = (1 << 24) - 1
+#: Bits of a packed element that hold its place; the rest is hash. No text of 2 GB has more word pairs than that.
+_PLACE_BITS = 30
+_PLACE = (1 << _PLACE_BITS) - 1
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,10 +29,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def order_minhash(text: Column, bins: int = BINS) -> Column:
-    """The fingerprint: 4 hex digits for each bin, 0000 for an empty one. `bins` is a power of two up to 1024."""
+    """The fingerprint: 4 hex digits for each point; all zeros for a text without words. `bins` is a power of two up to 1024."""
     bits = bins.bit_length() - 1
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - bits)
-    hashed = lambda x: F.shiftright(x, 24)
+    bin_of = lambda x: (F.shiftright(x, 64 - bits) + bins // 2).cast("int")
+    hashed = lambda x: F.shiftright(x, _PLACE_BITS)
     place = lambda x: x.bitwiseAND(F.lit(_PLACE))
     packed = lambda h, p: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(p.cast("long"))
     places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -45,41 +49,45 @@ def order_minhash(text: Column, bins: int = BINS) -> Column:
         return _let(occurrence, lambda o: F.sort_array(F.transform(e, lambda x, i: packed(F.xxhash64(hashed(x), F.get(o, i)), place(x)))))
 
     def tuples(e: Column) -> Column:
-        """The tuple of each filled bin: its two smallest elements in text order."""
+        """The tuple of each point: the first two elements at or after it, on a circle, with a bit for their text order.
+
+        A point between two filled ranges selects what the next filled range's does, so each range's tuple is repeated
+        for the points before it that have none, and the first one's for those after the last.
+        """
         first = F.filter(places(F.size(e)), lambda i: (i == 0) | (bin_of(F.get(e, i)) != bin_of(F.get(e, i - 1))))
 
         def digest(i: Column) -> Column:
-            x, y = F.get(e, i), F.get(e, i + 1)
-            both = F.when(place(x) < place(y), F.xxhash64(hashed(x), hashed(y))).otherwise(F.xxhash64(hashed(y), hashed(x)))
-            h = F.when(bin_of(x) == bin_of(y), both).otherwise(F.xxhash64(hashed(x)))
-            return F.lpad(F.hex(F.pmod(h, F.lit(16**_DIGITS - 1)) + 1), _DIGITS, "0")
+            x, y = F.get(e, i), F.get(e, F.pmod(i + 1, F.size(e)))
+            both = F.pmod(F.xxhash64(hashed(x), hashed(y)), F.lit((1 << 15) - 1)) + 1
+            return F.lpad(F.hex(both * 2 + (place(x) < place(y)).cast("long")), _DIGITS, "0")
+
+        def spread(f: Column) -> Column:
+            reach = lambda j: F.when(j < 0, F.lit(-1)).otherwise(bin_of(F.get(e, F.get(f, j))))
+            upto = F.flatten(F.transform(f, lambda i, j: F.array_repeat(digest(i), reach(j) - reach(j - 1))))
+            return F.concat(upto, F.array_repeat(digest(F.get(f, F.lit(0))), bins - 1 - reach(F.size(f) - 1)))
 
-        return _let(first, lambda f: F.map_from_arrays(F.transform(f, lambda i: bin_of(F.get(e, i)).cast("int")), F.transform(f, digest)))
+        return _let(first, lambda f: F.when(F.size(f) > 0, F.array_join(spread(f), "")).otherwise(F.lit("0" * _DIGITS * bins)))
 
     words = F.array_remove(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), "")
-    filled = _let(words, lambda w: _let(elements(w), lambda e: _let(numbered(e), tuples)))
-    slots = F.sequence(F.lit(0), F.lit(bins - 1))
-    return F.lower(_let(filled, lambda m: F.array_join(F.transform(slots, lambda b: F.coalesce(F.try_element_at(m, b), F.lit("0" * _DIGITS))), "")))
+    return F.lower(_let(words, lambda w: _let(elements(w), lambda e: _let(numbered(e), tuples))))
 
 
 def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
-    """Estimated share of the elements of two texts that agree, in order, from 0 to 1; 1 for two empty texts.
+    """Estimated share of two texts that an edit leaves alone, from 0 to 1; 1 for two texts without words, 0 for one.
 
-    Of the bins that either fills, the agreeing share is about p*J*J + (1-p)*J, J being the Jaccard likeness of the
-    elements and p the share of bins with two elements, known from how many bins are filled. 2J/(1+J) is returned.
+    The elements of a point are all shared with probability J*J, J being the Jaccard likeness of the elements, which gives
+    the shared part 2J/(1+J). Of the points that agree but for the order bit, the share that agrees in order measures how
+    far the shared part kept its order, and multiplies it: halves that change places halve the likeness.
     """
-    cut = lambda s, i: F.substring(s, i * _DIGITS + 1, F.lit(_DIGITS))
-    slots, none = F.sequence(F.lit(0), F.lit(bins - 1)), "0" * _DIGITS
-    used = F.size(F.filter(slots, lambda i: (cut(a, i) != none) | (cut(b, i) != none)))
-    same = F.size(F.filter(slots, lambda i: (cut(a, i) == cut(b, i)) & (cut(a, i) != none)))
-
-    def estimate(f: Column, c: Column) -> Column:
-        p = F.greatest(F.lit(0.0), F.when(f >= 1, F.lit(1.0)).otherwise(1 + F.log(1 - f) * (1 - f) / f))
-        j = F.when(p < 1e-6, c).otherwise((p - 1 + F.sqrt((1 - p) * (1 - p) + 4 * p * c)) / (2 * p))
-        return _let(j, lambda j: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * j / (1 + j))))
-
-    both = _let(F.struct(used.alias("u"), same.alias("s")), lambda t: F.when(t["u"] == 0, F.lit(1.0)).when(t["s"] == t["u"], F.lit(1.0)).otherwise(estimate(t["u"] / F.lit(float(bins)), t["s"] / t["u"])))
-    return both.cast("double")
+    cut = lambda s, i: F.conv(F.substring(s, i * _DIGITS + 1, F.lit(_DIGITS)), 16, 10).cast("int")
+    slots = F.sequence(F.lit(0), F.lit(bins - 1))
+    pairs = F.transform(slots, lambda i: F.struct(cut(a, i).alias("x"), cut(b, i).alias("y")))
+    count = lambda p, holds: F.size(F.filter(p, holds)) / F.lit(float(bins))
+    part = lambda u: 2 * F.sqrt(u) / (1 + F.sqrt(u))
+    found = _let(pairs, lambda p: F.struct(count(p, lambda t: F.shiftright(t.x, 1) == F.shiftright(t.y, 1)).alias("u"), count(p, lambda t: t.x == t.y).alias("c")))
+    empty = F.lit("0" * _DIGITS * bins)
+    one = F.when((a == empty) & (b == empty), F.lit(1.0)).when((a == empty) | (b == empty), F.lit(0.0))
+    return one.otherwise(_let(found, lambda t: F.when(t["u"] > 0, part(t["u"]) * t["c"] / t["u"]).otherwise(F.lit(0.0)))).cast("double")
 
 
 def followers(ids: DataFrame, scratch: Scratch, key: str = "k") -> DataFrame:

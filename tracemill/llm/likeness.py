@@ -10,7 +10,6 @@ compared by whole shingle sets: crowded buckets are dealt to blocks, and each tw
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +26,41 @@ BLOCK = 256
 _SALTS = 16
 
 
+class _Words:
+    """64-bit hashes of words, each computed once while it stays in a cache of bounded size."""
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.known = most, {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        import xxhash
+
+        known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        except KeyError:
+            pass
+        if len(known) > self.most:
+            known.clear()
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(known))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+_words = _Words()
+_ODD = 0x9E3779B97F4A7C15  # fixed value: odd multiplier
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Distinct hashes of a text's shingles, in order; a text with fewer words is one shingle, without words none."""
-    import xxhash
-
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, dtype=np.uint64)
-    k = min(words, len(found))
-    ends = list(accumulate(len(w) + 1 for w in found))
-    starts = [0, *ends[: len(found) - k]]
-    h = map(xxhash.xxh3_64_intdigest, map(b" ".join(found).__getitem__, map(slice, starts, (e - 1 for e in ends[k - 1 :]))))
-    return np.unique(np.fromiter(h, dtype=np.uint64, count=len(starts)))
+    each, k = _words(found), min(words, len(found))
+    total = np.full(len(found) - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        total += each[i : i + len(total)] * np.uint64(pow(_ODD, i + 1, 1 << 64))
+    total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(total ^ (total >> np.uint64(29)))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -1,13 +1,16 @@
 """Sum-of-squares online packing.
 
-Each partition packs its own rows as they come. `levels[h]` counts the open windows filled to h tokens. A document's
-tail (what is left after whole windows) goes to the level, or to a new window, that makes the sum of the squared counts
-smallest; ties take the fullest. At the end of a partition, or when very many windows are open, the open windows are
-poured into each other, cutting documents at the seams; the last one is cut at powers of two, which need no padding.
+Each partition packs its own rows as they come. `counts[l]` is the number of open windows whose fill is in level l, a range
+of `window / levels` tokens. A document's tail (what is left after whole windows) goes to the level, or to a new window,
+that makes the sum of the squared counts smallest; ties take the fullest. A level may be up to one range too full: then the
+tail is cut at the window's end, and what remains is placed like another. A window that lacks less than a range is topped up
+by the next document's beginning. At the end of a partition the few windows still open are poured into each other, cutting
+documents at the seams; the last one is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -23,7 +26,13 @@ from .common import documents
 
 WINDOW = 4096
 END = 2
-OPEN = 4096
+#: Ranges of fill that the rule tells apart. Fewer leave fewer windows open; more cut fewer documents.
+LEVELS = 32
+#: Windows held open at most, which bounds the memory of a task. The rule keeps far fewer open unless hardly any two
+#: documents complement each other; beyond it all open windows are poured into each other, as at the end of a partition.
+OPEN = 1024
+#: Fixed value: the pattern of tokenizers that drop white space and never merge a letter with a mark or a digit.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White space that str.split takes but that the tokenizer might see otherwise: all but space, tab and line ends.
 _ODD_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r") + "]")
 
@@ -37,9 +46,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, with a bounded cache of the ids of words.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its words in turn; a word's
-    letters and one mark after them are apart as well, and ASCII case is dropped. Texts with unusual white space or with
-    the strings of special tokens go to the tokenizer whole. The cache has two generations of `entries` words.
+    A tokenizer with the pattern above drops white space and never merges across it, so a text's ids are those of its words
+    in turn; a word's letters and one mark after them are apart as well, and ASCII case is dropped. That letters and mark
+    are apart is tried out on the tokenizer for each letter once (`İ`, for one, becomes a letter and an accent, which joins
+    the mark). Texts with unusual white space or with the strings of special tokens, and all texts of other tokenizers, go
+    to the tokenizer whole. The cache has two generations of `entries` words.
     """
 
     MARKS = ".,;:!?"
@@ -55,10 +66,26 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = {m: self._ids([m])[0] for m in self.MARKS}
+        self.letters: dict[str, bool] = {}
+        parts = json.loads(tokenizer_json)
+        split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        drops = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+        self.by_words = split.get("pattern") == {"Regex": _PATTERN} and bool(split.get("invert")) and parts.get("normalizer") == drops
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _apart(self, stem: str) -> bool:
+        """True if the stem's ids and those of a mark after it are the ids of both together."""
+        if not stem.isalpha():
+            return False
+        if stem.isascii():
+            return True
+        for c in set(stem).difference(self.letters):
+            found = self._ids([c, *(c + m for m in self.MARKS)])
+            self.letters[c] = all(both == found[0] + self.marks[m] for m, both in zip(self.MARKS, found[1:], strict=True))
+        return all(map(self.letters.__getitem__, stem))
+
     def _learn(self, words: list[str]) -> None:
         cache, old = self.cache, self.old
         stems: dict[str, list[tuple[str, bytes]]] = defaultdict(list)
@@ -67,7 +94,7 @@ class Encoder:
                 cache[word] = old[word]
                 continue
             stem, tail = word, b""
-            if word[-1] in self.MARKS and word[:-1].isalpha():
+            if word[-1] in self.MARKS and self._apart(word[:-1]):
                 stem, tail = word[:-1], self.marks[word[-1]]
             if stem.isascii():
                 stem = stem.lower()
@@ -85,7 +112,7 @@ class Encoder:
                     cache[word] = ids + tail
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or _ODD_SPACE.search(text):
+        if not self.by_words or "<|" in text or _ODD_SPACE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = text.split()
         try:
@@ -107,55 +134,55 @@ def encoder(tokenizer_json: str) -> Encoder:
 class Packer:
     """Packs (document, ids) into windows; closed windows come out as (pieces), a piece being (document, start, ids)."""
 
-    def __init__(self, window: int = WINDOW, most_open: int = OPEN):
+    def __init__(self, window: int = WINDOW, levels: int = LEVELS, most_open: int = OPEN):
         self.window, self.most_open = window, most_open
-        self.levels = np.zeros(window + 1, dtype=np.int64)
-        self.open: dict[int, list[list]] = defaultdict(list)
-        self.n_open = 0
+        self.step = max(1, window // levels)
+        self.counts = np.zeros(-(-window // self.step), dtype=np.int64)
+        self.open: dict[int, list[tuple[list, int]]] = defaultdict(list)
+        #: A window that lacks less than a step.
+        self.short: tuple[list, int] | None = None
 
     def add(self, doc, ids: bytes) -> Iterator[list]:
-        n, w = len(ids) // 4, self.window
-        whole = n // w * w
-        for at in range(0, whole, w):
+        w, at = self.window, 0
+        while len(ids) // 4 - at >= w:
             yield [(doc, at, ids[4 * at : 4 * (at + w)])]
-        size = n - whole
-        if not size:
-            return
-        piece = (doc, whole, ids[4 * whole :])
-        level = self._level(size)
-        pieces = []
-        if level:
-            pieces = self.open[level].pop()
-            self.levels[level] -= 1
-            self.n_open -= 1
-        pieces.append(piece)
-        if level + size == w:
-            yield pieces
-            return
-        self.open[level + size].append(pieces)
-        self.levels[level + size] += 1
-        self.n_open += 1
-        if self.n_open > self.most_open:
+            at += w
+        while at < len(ids) // 4:
+            (pieces, filled), self.short = self.short or self._take(len(ids) // 4 - at), None
+            n = min(len(ids) // 4 - at, w - filled)
+            pieces.append((doc, at, ids[4 * at : 4 * (at + n)]))
+            at, filled = at + n, filled + n
+            if filled == w:
+                yield pieces
+            elif w - filled < self.step:
+                self.short = pieces, filled
+            else:
+                self.open[filled // self.step].append((pieces, filled))
+                self.counts[filled // self.step] += 1
+        if self.counts.sum() > self.most_open:
             yield from self.pour(last=False)
 
-    def _level(self, size: int) -> int:
-        """The fill level to place `size` tokens on; 0: a new window."""
-        top = self.window - size
-        at = np.nonzero(self.levels[1 : top + 1])[0] + 1
-        if not len(at):
-            return 0
-        change = 2 * (self.levels[at + size] - self.levels[at]) + 2
-        if at[-1] == top:
-            change[-1] = 1 - 2 * self.levels[top]
-        best = len(at) - 1 - int(change[::-1].argmin())
-        return int(at[best]) if change[best] <= 2 * self.levels[size] + 1 else 0
+    def _take(self, size: int) -> tuple[list, int]:
+        """The open window, or a new one, to place `size` tokens in."""
+        n, q = len(self.counts), (size + self.step // 2) // self.step
+        at = np.nonzero(self.counts)[0]
+        at = at[at * self.step + size < self.window + self.step]
+        if len(at):
+            to = at + q
+            change = np.where(to < n, 2 * (self.counts[np.minimum(to, n - 1)] - self.counts[at]) + 2 * (q > 0), 1 - 2 * self.counts[at])
+            best = len(at) - 1 - int(change[::-1].argmin())
+            if change[best] <= 2 * self.counts[min(q, n - 1)] + 1:
+                self.counts[at[best]] -= 1
+                return self.open[int(at[best])].pop()
+        return [], 0
 
     def pour(self, last: bool = True) -> Iterator[list]:
         """Close all open windows but at most one, which stays open unless it is the last: then cut it at powers of two."""
-        todo = [p for level in sorted(self.open, reverse=True) for pieces in self.open[level] for p in pieces]
+        windows = [self.short] * (self.short is not None) + [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
+        todo = [p for pieces, _ in windows for p in pieces]
         self.open.clear()
-        self.levels[:] = 0
-        self.n_open = 0
+        self.counts[:] = 0
+        self.short = None
         now, filled = [], 0
         for doc, start, ids in todo:
             while ids:
@@ -167,8 +194,8 @@ class Packer:
                     yield now
                     now, filled = [], 0
         if filled and not last:
-            self.open[filled].append(now)
-            self.levels[filled] = self.n_open = 1
+            self.open[filled // self.step].append((now, filled))
+            self.counts[filled // self.step] = 1
         elif filled:
             left = 1 << (filled.bit_length() - 1)
             out: list = []

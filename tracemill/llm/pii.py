@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
+#: Least share of right votes that a labeler is granted.
+RIGHT = 0.75
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 # Patterns. Possessive and anchored forms match what the plain ones do, in linear time.
@@ -116,10 +118,13 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str, list[int]]]:
 
 
 def reliabilities(patterns: dict[tuple[str, bool], float], rounds: int = 100) -> tuple[float, np.ndarray]:
-    """EM over counts of (votes, base): the share of true spans, and P(vote | class) as (class, labeler, y/n/-).
+    """EM over counts of (votes, base): the share of true ones among further candidates, and P(vote | class) as (class,
+    labeler, y/n/-).
 
-    Base spans are true by definition and stay at 1; the others start from their votes' majority. An abstention says
-    nothing about the class, and a weak prior holds that labelers are right more often than not.
+    Base spans are true by definition and stay at 1; the others start from their votes' majority. Base spans tell how
+    labelers vote on true spans, but not how many of the others are true. An abstention says nothing about the class. A
+    labeler that votes is held to be right in `RIGHT` of the cases of a class at least: where all spans of a pattern vote
+    alike, counts alone could turn its meaning round.
     """
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], dtype=float)
@@ -133,8 +138,9 @@ def reliabilities(patterns: dict[tuple[str, bool], float], rounds: int = 100) ->
         for cls, w in ((1, n * p), (0, n * (1 - p))):
             for j in range(width):
                 seen = np.bincount(code[:, j], weights=w, minlength=3)[:2] + ((4, 1) if cls else (1, 4))
-                table[cls, j, :2] = seen / seen.sum()
-        share = ((n * p).sum() + 1) / (n.sum() + 2)
+                right = max(RIGHT, seen[1 - cls] / seen.sum())
+                table[cls, j, :2] = (right, 1 - right) if cls else (1 - right, right)
+        share = ((n * p)[~base].sum() + 1) / (n[~base].sum() + 2)
         after = np.array([1.0 if b else posterior(v, share, table) for v, b in keys])
         if np.abs(after - p).max(initial=0) < 1e-9:
             break
@@ -197,8 +203,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def train(found: DataFrame) -> dict[tuple[int, int], float]:
-    """The span classifier from all candidates; only counts of distinct (votes, traits, base) reach the driver, and both take
-    few values whatever the number of documents."""
+    """The span classifier from all candidates. Only counts of distinct (votes, traits, base) reach the driver: both take
+    small whole values, by far most combinations cannot occur (a kind has its own lengths and characters), and the number
+    does not grow with the documents."""
     each = found.select(F.explode("found").alias("c")).groupBy("c.votes", "c.traits", "c.base").agg(F.count(F.lit(1)).alias("n"))
     return classifier(sorted((r["votes"], list(r["traits"]), r["base"], r["n"]) for r in each.collect()))
 
@@ -235,7 +242,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its texts replaced by its kind in brackets, and n_chars, where there is one, counted anew.
 
-    Overlapping spans are replaced together, under the kind of the first. Null text stays null.
+    Overlapping spans are replaced together, under the kind of the first. Null text stays null. Rows that repeat are each
+    returned, a null doc_id like any other; an empty table gives an empty result.
     """
     weights = train(scan(docs))
     text_at = docs.columns.index("text")

@@ -1,7 +1,7 @@
 """Quality classification by regularised quadratic discriminant analysis.
 
 A text is described by transformed counts and shares (log, square root). Each class has a mean and a covariance shrunk
-towards a pooled, then a scaled identity matrix, of which the Cholesky factor is kept. A text's log-density difference
+towards a pooled, then a scaled identity matrix, of which the inverse Cholesky factor is kept. A text's log-density difference
 from Mahalanobis distances is calibrated to a probability by a logistic of one variable.
 """
 
@@ -74,6 +74,7 @@ class Model:
     center: np.ndarray
     scale: np.ndarray
     means: list[np.ndarray]
+    #: Inverses of the covariances' Cholesky factors.
     factors: list[np.ndarray]
     slope: float
     shift: float
@@ -84,8 +85,8 @@ def _difference(x: np.ndarray, model: Model) -> np.ndarray:
     z = (x - model.center) / model.scale
     out = []
     for mean, factor in zip(model.means, model.factors, strict=True):
-        r = np.linalg.solve(factor, (z - mean).T)
-        out.append(-0.5 * (r * r).sum(axis=0) - np.log(np.diag(factor)).sum())
+        r = factor @ (z - mean).T
+        out.append(-0.5 * (r * r).sum(axis=0) + np.log(np.diag(factor)).sum())
     return out[1] - out[0]
 
 
@@ -109,7 +110,7 @@ def fit(x: np.ndarray, y: np.ndarray, pooled: float = 0.3, identity: float = 0.0
         own = (1 - pooled) * spread(part) + pooled * common
         own = (1 - identity) * own + identity * np.trace(own) / d * np.eye(d) + 1e-6 * np.eye(d)
         means.append(part.mean(axis=0))
-        factors.append(np.linalg.cholesky(own))
+        factors.append(np.linalg.inv(np.linalg.cholesky(own)))
     model = Model(center, scale, means, factors, 1.0, 0.0)
     g = np.clip(_difference(x, model) / 10, -50, 50)
     a, b = 1.0, 0.0

@@ -23,8 +23,9 @@ from . import likeness
 from .common import Scratch, components, documents
 
 BITS = 4
-#: Members of one key bucket compared with each other in one task; larger buckets go to `hubs`.
-BUCKET = 4096
+#: Members of one key bucket compared with each other in one task; the members of larger ones get finer keys first.
+BUCKET = 32_768
+_SALTS = 16
 _POLY = 0b101011100011  # fixed value: generator polynomial of the Golay code
 
 
@@ -176,41 +177,69 @@ def _links(bits: int, bucket: int):
     return run
 
 
-def hubs(hot: DataFrame, bits: int) -> DataFrame:
-    """Links within crowded buckets, exactly and in linear work: two values lie within 2r bits if and only if some value
-    lies within r bits of both, so every value goes to all values within r bits, and each of those links its visitors to
-    the smallest one. An odd radius has no such half; `near_duplicates` asks for an even one."""
-    flips = np.array([0] + [sum(1 << i for i in c) for w in range(1, bits // 2 + 1) for c in combinations(range(64), w)], dtype=np.uint64).view(np.int64)
+def _cut(fp: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The fingerprints' bits in `parts` pieces of nearly equal length."""
+    u, ends = fp.view(np.uint64), [64 * i // parts for i in range(parts + 1)]
+    return [u >> np.uint64(a) & np.uint64((1 << (b - a)) - 1) for a, b in zip(ends, ends[1:], strict=False)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(0).to_numpy()
-            for at in range(0, len(v), 64):
-                part = v[at : at + 64]
-                yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ flips[None, :]).ravel()), pa.array(np.repeat(part, len(flips)))], ["hub", "fp"])
 
-    out = hot.repartition("fp").mapInArrow(run, "hub long, fp long")
-    low = out.groupBy("hub").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("hub", "low")
-    return out.join(low, "hub").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+def sub_keys(fp: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `keys_of`, by pigeonhole: values with up to `bits` differing bits agree in `parts - bits` pieces, and each choice
+    of so many pieces is a key."""
+    pieces = _cut(fp, parts)
+    keys = []
+    for t, chosen in enumerate(combinations(range(parts), parts - bits)):
+        total = np.full(len(fp), t + 1, dtype=np.uint64)
+        for c in chosen:
+            total = (total ^ pieces[c]) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(29)
+        keys.append(total.view(np.int64))
+    return np.tile(np.arange(len(fp)), len(keys)), np.concatenate(keys)
 
 
-def links(prints: DataFrame, scratch: Scratch, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """Verified links (a, b) between distinct fingerprints that connect exactly what links at `bits` or fewer connect."""
-    if bits > 4 or bits % 2:
-        raise ValueError("the keys cover an even radius of up to 4 bits")
+def _blocked(hot: DataFrame, keyed, bits: int, block: int) -> DataFrame:
+    """Links in buckets of any size: a bucket's members are dealt to blocks, and each two blocks meet in one task."""
+    rows = hot.mapInArrow(_keyed(keyed), "key long, fp long")
+    n = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n"))
+    rows = rows.join(n, "key").withColumn("at", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    meets = F.expr("transform(sequence(0, n - 1), r -> struct(least(r, at) AS i, greatest(r, at) AS j))")
+    cells = rows.select("key", "fp", F.explode(meets).alias("c"))
+    cells = cells.select(F.xxhash64("key", "c.i", "c.j").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    return cells.mapInArrow(_links(bits, 1 << 62), "a long, b long").distinct()
+
+
+def _keyed(keys):
+    """Rows (fp) to rows (key, fp), by a function as `keys_of`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy()
             for at in range(0, len(fp), 512):
                 part = fp[at : at + 512]
-                where, key = keys_of(part)
+                where, key = keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[where])], ["key", "fp"])
 
-    keyed = prints.select("fp").distinct().mapInArrow(run, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    found = scratch.save(keyed.mapInArrow(_links(bits, bucket), "a long, b long").distinct(), "links")
-    sure, hot = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("fp"))
-    return sure if hot.isEmpty() else sure.union(hubs(hot, bits))
+    return run
+
+
+def links(prints: DataFrame, scratch: Scratch, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """Verified links (a, b) between distinct fingerprints that connect exactly what links at `bits` or fewer connect.
+
+    Members of a bucket with more than `bucket` values get finer keys, in turn of 6 and of 8 pieces; what is crowded even
+    then is compared block by block. Every level covers all pairs of its values, so the links are the same for any `bucket`.
+    """
+    if bits > 4:
+        raise ValueError("the keys cover up to 4 bits")
+    level, out = prints.select("fp").distinct(), None
+    for name, keys in (("golay", keys_of), ("six", lambda fp: sub_keys(fp, 6, 4)), ("eight", lambda fp: sub_keys(fp, 8, 4))):
+        keyed = level.mapInArrow(_keyed(keys), "key long, fp long").repartition("key").sortWithinPartitions("key")
+        found = scratch.save(keyed.mapInArrow(_links(bits, bucket), "a long, b long").distinct(), name)
+        sure = found.where("b is not null")
+        out = sure if out is None else out.union(sure)
+        level = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+        if level.isEmpty():
+            return out
+    return out.union(_blocked(level, lambda fp: sub_keys(fp, 8, 4), bits, bucket))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
@@ -225,24 +254,47 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS, bucket: i
     roots = components(links(prints, scratch, bits, bucket), scratch)
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     each = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = each.join(names, "root").select("fp", "component_id")
+    names = each.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a component of many values must not meet its name in one task
+    names = names.select("root", "component_id", F.explode(F.lit(list(range(_SALTS)))).alias("salt"))
+    named = each.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int")).join(names, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _staying(rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among those of `stay`, all columns unchanged whatever their names."""
+    ids = stay.select(F.col("doc_id").alias(_free("kept", rows)))
+    # the ids that stay grow with the table: they are never broadcast
+    return rows.join(ids.hint("merge"), F.col("doc_id").cast("long") == F.col(ids.columns[0]), "left_semi")
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _once(rows: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with one row for each doc_id of `repeated` (doc_id); the others unchanged."""
+    if repeated.isEmpty():
+        return rows
+    again = scratch.save(_staying(rows, repeated).dropDuplicates(["doc_id"]), "again")
+    ids = repeated.select(F.col("doc_id").alias(_free("again", rows)))
+    return rows.join(ids, F.col("doc_id").cast("long") == F.col(ids.columns[0]), "left_anti").union(again)
+
+
 def keep_one(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
     """The rows of docs, all columns unchanged, with one document of each group of near duplicates: its smallest doc_id.
 
     Rows that repeat a doc_id count as copies, and one of them stays. Rows with a null doc_id all stay.
     """
-    found = near_duplicates(docs, words, bits)
-    copies = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
-    stay = Scratch(docs.sparkSession).save(copies.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
-    # the ids that stay grow with the table: they are never broadcast
-    once = docs.join(stay.where("_rows = 1").select("_kept").hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    repeated = stay.where("_rows > 1")
-    whole = once if repeated.isEmpty() else once.union(docs.join(repeated.select("_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]))
-    return whole.union(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession)
+    found = near_duplicates(docs, words, bits).where("doc_id is not null")
+    copies = scratch.save(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "copies")
+    rows = _once(docs.where("doc_id is not null"), copies.where("rows > 1").select("doc_id"), scratch)
+    return _staying(rows, copies.where("doc_id = component_id")).union(docs.where("doc_id is null"))
 
 
 def keep_distinct(docs: DataFrame, words: int = 4, bits: int = BITS, least: float = likeness.LEAST) -> DataFrame:
@@ -255,15 +307,10 @@ def keep_distinct(docs: DataFrame, words: int = 4, bits: int = BITS, least: floa
     scratch = Scratch(docs.sparkSession)
     found = near_duplicates(docs, words, bits).where("doc_id is not null")
     roots = scratch.save(found.groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count(F.lit(1)).alias("rows")), "roots")
-    rows, own = docs.where("doc_id is not null"), F.col("doc_id").cast("long")
-    repeated = roots.where("rows > 1").select(F.col("doc_id").alias("_again"))
-    if not repeated.isEmpty():
-        again = scratch.save(rows.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]), "again")
-        rows = rows.join(repeated, own == F.col("_again"), "left_anti").union(again)
+    rows = _once(docs.where("doc_id is not null"), roots.where("rows > 1").select("doc_id"), scratch)
     near = likeness.links(rows, scratch, least, roots)
     left, right = (roots.select(F.col("doc_id").alias(end), F.col("root").alias(to)) for end, to in (("a", "u"), ("b", "v")))
     merged = components(near.join(left, "a").join(right, "b").select("u", "v"), scratch, "u", "v")
     gone = merged.where("node <> root").select(F.col("node").alias("doc_id"))
-    stay = scratch.save(roots.where("doc_id = root").join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("_kept")), "kept")
-    # the ids that stay grow with the table: they are never broadcast
-    return rows.join(stay.hint("merge"), own == F.col("_kept"), "left_semi").union(docs.where("doc_id is null"))
+    stay = scratch.save(roots.where("doc_id = root").join(gone, "doc_id", "left_anti").select("doc_id"), "kept")
+    return _staying(rows, stay).union(docs.where("doc_id is null"))

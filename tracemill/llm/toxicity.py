@@ -1,10 +1,12 @@
 """Compression-distance classification of toxicity.
 
-Two zstandard dictionaries are trained on lower-cased labelled texts: one on windows of ordinary documents, and one that
-adds what toxic documents have besides: the runs of text covered by character grams far more common in toxic than in ordinary
-documents. They lie in front, so that ordinary matter has the same offsets in both. Each window of a text is compressed with both. Ordinary windows differ by a byte or two; windows with
-toxic matter are several bytes shorter with the toxic dictionary. A document's counts of windows beyond fixed gains go
-through a logistic calibration, fitted on labelled documents that the dictionaries were not trained on.
+Two zstandard dictionaries are trained, one on windows of ordinary documents, one on the toxic passages of toxic documents.
+Labels are of documents, and most of a toxic document is ordinary text, on which a dictionary would be trained instead. So
+the passages are found first: parts of words covered by character grams that toxic documents have significantly more often
+(a likelihood-ratio test, which rare grams can pass too). Each window of a text is compressed with the ordinary dictionary
+and with both together, the toxic one in front, so that ordinary matter costs the same in both. A document's counts of
+windows by the bytes gained go through a logistic calibration. Its features come from dictionaries trained on the other
+half of the rows, so that no document is measured with a dictionary that has seen it.
 """
 
 from __future__ import annotations
@@ -20,9 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
+from .likeness import shingles
 
 #: Labelled rows of each class that the fit reads at most, and the longest text among them, in bytes.
 SAMPLE, SAMPLE_BYTES = 3000, 20_000
+#: Windows, by hash order, that the ordinary dictionary is trained on at most, and the size of a dictionary.
+TRAINED, SIZE = 60_000, 16_384
+#: Least likelihood ratio of a toxic gram, its length, and the characters beyond it that a passage takes in.
+RATIO, GRAM, MARGIN = 14.0, 5, 2
+#: Bytes of text below which a dictionary is that text itself: zstandard keeps next to nothing of so little.
+FEW = 4096
 WORDS = 6
 GAINS = (2, 3, 4, 6, 8, 11)
 
@@ -68,65 +77,85 @@ class Gauge:
         return np.array([math.log1p(b) for b in beyond] + [math.sqrt(s) for s in share] + [float(min(20, g.max(initial=0))), math.log1p(len(g))])
 
 
-def _grams(text: str, n: int) -> set[str]:
-    return {w[i : i + n] for w in {f" {w} " for w in text.lower().split()} for i in range(len(w) - n + 1)}
+def _words(text: str) -> list[bytes]:
+    return [b" %b " % w for w in text.lower().encode("utf-8", "surrogatepass").split()]
 
 
-def toxic_runs(toxic: list[str], ordinary: list[str], n: int = 5, ratio: float = 8.0, share: float = 0.02) -> list[str]:
-    """What toxic texts have besides ordinary ones: runs of covered characters by how many texts have them, rarest first."""
-    least = max(4, share * len(toxic))
-    t, o = Counter(g for x in toxic for g in _grams(x, n)), Counter(g for x in ordinary for g in _grams(x, n))
-    chosen = {g for g, c in t.items() if c >= least and c / len(toxic) * (len(ordinary) + 1) >= ratio * (o[g] + 0.5)}
-    runs: Counter[str] = Counter()
-    for x in toxic:
-        own = set()
-        for w in {f" {w} " for w in x.lower().split()}:
-            on = [i for i in range(len(w) - n + 1) if w[i : i + n] in chosen]
-            most = max((t[w[i : i + n]] for i in on), default=0)
-            on = [i for i in on if 2 * t[w[i : i + n]] >= most]  # the common core, without endings that vary
-            if on:
-                own.add(w[on[0] : min(on[-1] + n, on[0] + 40)])
-        runs.update(own)
-    return [r for r, c in sorted(runs.items(), key=lambda rc: (rc[1], rc[0])) if c >= least]
+def _grams(word: bytes, n: int = GRAM) -> set[bytes]:
+    return {word[i : i + n] for i in range(len(word) - n + 1)}
 
 
-def _distinct(texts: list[str], words: int = 5) -> list[int]:
+def toxic_grams(toxic: list[str], ordinary: list[str], least: float = RATIO) -> set[bytes]:
+    """Grams within words that more of the toxic texts have than chance allows: a likelihood ratio of `least` or more."""
+    n, m = len(toxic), len(ordinary)
+    held = [Counter(g for t in texts for g in set().union(*map(_grams, set(_words(t))))) for texts in (toxic, ordinary)]
+
+    def ratio(a: int, b: int) -> float:
+        even = (a + b) / (n + m)
+        return 2 * (a * math.log(a / (even * n)) + (b * math.log(b / (even * m)) if b else 0.0))
+
+    return {g for g, a in held[0].items() if a * m > held[1][g] * n and ratio(a, held[1][g]) >= least}
+
+
+def passages(text: str, grams: set[bytes], margin: int = MARGIN) -> list[bytes]:
+    """The parts of a text's words that toxic grams cover, with a margin after them."""
+    out = []
+    for w in _words(text):
+        on = [i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in grams]
+        if on:
+            out.append(w[on[0] : on[-1] + GRAM + margin])
+    return out
+
+
+def _distinct(texts: list[str]) -> list[int]:
     """Places of texts that share neither of their two smallest shingle hashes with an earlier one: copies of one text
     must not count as many texts that agree."""
-    import xxhash
-
     seen: set[int] = set()
     keep = []
     for i, t in enumerate(texts):
-        w = t.split()
-        low = sorted({xxhash.xxh3_64_intdigest(" ".join(w[j : j + words])) for j in range(max(1, len(w) - words + 1))})[:2]
+        low = shingles(t)[:2].tolist()
         if not seen.intersection(low):
             keep.append(i)
         seen.update(low)
     return keep
 
 
-def fit(texts: list[str], labels: list[int], size: int = 16_384) -> Model:
-    """Dictionaries from the even rows, calibration from the odd ones. One class alone gives that class's constant score."""
+def dictionaries(texts: list[str], labels: list[int], size: int = SIZE, trained: int = TRAINED) -> tuple[bytes, bytes]:
+    """The ordinary dictionary, and the toxic one with the ordinary one after it."""
+    import xxhash
     import zstandard as z
 
+    def trained_on(samples: list[bytes], **how) -> bytes:
+        few = b" ".join(sorted(set(samples)))[-size:]
+        if sum(map(len, samples)) < FEW:  # too little to train on: the text itself
+            return few
+        try:
+            return z.train_dictionary(size, samples, **how).as_bytes()
+        except z.ZstdError:
+            return few
+
+    toxic, ordinary = ([t for t, y in zip(texts, labels, strict=True) if y == k] for k in (1, 0))
+    plain = sorted((w for t in ordinary for w in windows(t)), key=xxhash.xxh3_64_intdigest)[:trained]
+    grams = toxic_grams(toxic, ordinary) if toxic and ordinary else set()
+    base = trained_on(plain) or b" " * 8
+    return base, trained_on([p for t in toxic for p in passages(t, grams)], k=32, d=6) + b" " + base
+
+
+def fit(texts: list[str], labels: list[int], size: int = SIZE) -> Model:
+    """Dictionaries from all rows; the calibration of each half with dictionaries of the other. One class alone gives that
+    class's constant score. A class weighs by the square root of how rare it is."""
     keep = _distinct(texts)
     texts, labels = [texts[i] for i in keep], [labels[i] for i in keep]
-    of = lambda k, half: [t for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if y == k and i % 2 == half]
-    base = b" ".join(w for t in of(0, 0)[:200] for w in windows(t)[:50])
-    try:
-        ordinary = z.train_dictionary(size, [w for t in of(0, 0) for w in windows(t)][:40_000]).as_bytes()
-    except z.ZstdError:  # too few samples to train on: their text itself
-        ordinary = base[-size:] or b"        "
-    runs = " ".join(toxic_runs(of(1, 0), of(0, 0))).encode() if of(1, 0) and of(0, 0) else b""
-    toxic = runs[-size:] + b" " + ordinary
-    gauge = Gauge(ordinary, toxic)
-    y = np.array(labels[1::2] or labels or [0], dtype=float)
-    x = np.array([gauge.features(t) for t in (texts[1::2] or texts or [""])])
+    x = np.zeros((max(1, len(texts)), 2 * len(GAINS) + 2))
+    for half in (0, 1):
+        gauge = Gauge(*dictionaries(texts[1 - half :: 2], labels[1 - half :: 2], size))
+        for i in range(half, len(texts), 2):
+            x[i] = gauge.features(texts[i])
+    y = np.array(labels or [0], dtype=float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z1 = np.c_[(x - mean) / scale, np.ones(len(x))]
-    # classes weigh alike, and half a row of each class keeps a single-class fit finite
-    rows = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    share = min(max(y.mean(), 1e-9), 1 - 1e-9)
+    rows = np.where(y == 1, math.sqrt(0.5 / share), math.sqrt(0.5 / (1 - share)))
     prior = math.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)) if min(y.sum(), (1 - y).sum()) == 0 else 0.0
     beta = np.zeros(z1.shape[1])
     ridge = np.eye(len(beta)) * 1.0
@@ -141,7 +170,7 @@ def fit(texts: list[str], labels: list[int], size: int = 16_384) -> Model:
             if np.abs(step).max() < 1e-6:
                 break
     beta[-1] += prior
-    return Model(ordinary, toxic, mean, scale, beta)
+    return Model(*dictionaries(texts, labels, size), mean, scale, beta)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -184,7 +213,11 @@ def score(docs: DataFrame, model: Model, fold: int = 5, held: int = 0, threshold
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose text scores below the threshold. Null text counts as empty."""
+    """The rows of docs, all columns unchanged, whose text scores below the threshold.
+
+    Null text counts as empty. Rows that repeat go or stay together, a null doc_id makes no difference; an empty table
+    gives an empty result.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
