@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracemill.plans import catalogue, ordered, reports, texts, training  # noqa: F401
+from tracemill.plans import audit, catalogue, families, ordered, reports, stored, texts, training  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -58,15 +58,24 @@ def test_chains_of_all_customers_equal_a_walk(spark, duck):
         at, want[head] = head, 1
         while at in after:
             at, want[head] = after[at], want[head] + 1
-    got = {r["head"]: r["links"] for r in catalogue.QUERIES["linked_chain_all"](spark, str(SF)).collect()}
+    got = {r["head"]: r["links"] for r in catalogue.QUERIES["linked_chain"](spark, str(SF)).collect()}
     assert got == want and sum(got.values()) == len(orders)
-    part = {r["head"]: r["links"] for r in catalogue.QUERIES["linked_chain"](spark, str(SF)).collect()}
-    assert part.items() < got.items()
 
 
-def test_streams_equal_batches(spark):
-    names = {"stream_journal", "stream_kv"}
-    assert names <= set(catalogue.QUERIES) and names <= set(catalogue.ORACLES)
+def test_both_ways_of_searching_agree(spark):
+    from tracemill.operators.retrieval import top_matches
+
+    docs, asked = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    one, other = (sorted(map(tuple, top_matches(docs, asked, 3, most_bytes=n).select("item_id", "doc_id", "score", "place").collect())) for n in (1 << 30, 0))
+    assert one == other and len(one) > 0
+
+
+def test_streams_in_many_batches_equal_one(spark, duck, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartitionByRange(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_journal", "stream_kv"):
+        got, want = (catalogue.QUERIES[name](spark, d) for d in (str(tmp_path), str(SF)))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_entry(spark):

@@ -1 +1 @@
-
+"""Expressions shared by the query modules."""

@@ -11,32 +11,49 @@ from ..streaming.journal import run_stream
 from .catalogue import both, query, table
 
 OVER = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-both("chain_verify", "SELECT event_id, CASE WHEN LAG(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL THEN 'start' WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY event_id) THEN 'back' ELSE 'ok' END AS state FROM {events}")
+# a journal as it is stored: each row has a number, its hash and the hash before it. Every 97th event was altered after
+# its hash was made, every 89th is missing. Verification compares neighbours only and is as parallel as the users are.
+STORED = """WITH j AS (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, {SHA}(CONCAT(CAST(event_id AS VARCHAR(20)), '|', event_type, '|', props)) AS own FROM {events}),
+l AS (SELECT *, LAG(own, 1, repeat('0', 64)) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM j),
+s AS (SELECT l.user_id, l.event_id, seq, own, previous, {SHA}(CONCAT(CAST(e.event_id AS VARCHAR(20)), '|', CASE WHEN e.event_id % 97 = 0 THEN 'altered' ELSE event_type END, '|', props)) AS found FROM l JOIN {events} e ON l.event_id = e.event_id WHERE l.event_id % 89 <> 0)
+SELECT event_id, CASE WHEN own <> found THEN 'altered' WHEN seq <> ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 THEN 'number' WHEN previous <> LAG(own, 1, repeat('0', 64)) OVER (PARTITION BY user_id ORDER BY event_id) THEN 'link' ELSE 'ok' END AS state FROM s"""
+both("chain_verify", STORED.replace("{SHA}(", "sha2(").replace(", props)) AS own", ", props), 256) AS own").replace(", props)) AS found", ", props), 256) AS found").replace("'|', props)) AS", "'|', props), 256) AS"), STORED.replace("{SHA}", "sha256"))
 both("running_balance", f"SELECT event_id, user_id, CAST(SUM(CAST(value AS DECIMAL(18,4))) {OVER} AS DECIMAL(28,4)) AS balance FROM {{events}}")
-both("first_status", "SELECT user_id, event_type AS status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events}) WHERE k = 1")
-both("latest_status", "SELECT user_id, event_type AS status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {events}) WHERE k = 1")
+# the first and the last status with an amount of 10 or more, null for users without one: extremes combine before a shuffle
+for which, extreme, direction in (("first", "min_by", ""), ("latest", "max_by", " DESC")):
+    both(
+        f"{which}_status",
+        f"SELECT user_id, {extreme}(event_type, event_id) FILTER (WHERE value >= 10) AS status FROM {{events}} GROUP BY user_id",
+        f"SELECT user_id, status FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT user_id, event_type AS status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id{direction}) AS k FROM events WHERE value >= 10) WHERE k = 1) USING (user_id)",
+    )
 both("status_changes", "SELECT user_id, COUNT(*) FILTER (WHERE event_type <> before) AS changes FROM (SELECT *, LAG(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {events}) GROUP BY user_id")
-both("amount_range", "SELECT user_id, MIN(value) AS least, MAX(value) AS most FROM {events} GROUP BY user_id")
+both("amount_range", "SELECT user_id, CAST(MAX(CAST(value AS DECIMAL(18,4))) - MIN(CAST(value AS DECIMAL(18,4))) AS DECIMAL(20,4)) AS spread FROM {events} GROUP BY user_id")
+both("threshold_events", "SELECT user_id, COUNT(*) FILTER (WHERE value >= 10) AS n FROM {events} GROUP BY user_id")
 both("threshold", f"SELECT user_id, MIN(event_id) AS event_id FROM (SELECT user_id, event_id, SUM(CAST(value AS DECIMAL(18,4))) {OVER} AS so_far FROM {{events}}) WHERE so_far >= 100 GROUP BY user_id")
 both("first_error_context", """WITH o AS (SELECT *, LAG(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, LEAD(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM {events}),
 e AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM o WHERE event_type = 'error') SELECT user_id, event_id, before, after FROM e WHERE k = 1""")
 # the journal as operations on a store: an error deletes the user's key, anything else sets it
-LAST = "SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM {events}"
-both("kv_latest", f"SELECT user_id, event_type AS name, value FROM ({LAST}) WHERE k = 1")
-both("kv_prefix", f"SELECT event_type AS prefix, CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS total, COUNT(*) AS names FROM ({LAST}) WHERE k = 1 GROUP BY event_type")
-both("kv_delete", "SELECT user_id, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {events}) WHERE k = 1 AND event_type <> 'error'")
+LAST = "SELECT user_id, event_type, max_by(value, event_id) AS value FROM {events} GROUP BY user_id, event_type"
+DUCK_LAST = "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1"
+KV_LATEST, KV_PREFIX = "SELECT user_id, event_type AS name, value FROM ({L})", "SELECT event_type AS prefix, CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS total, COUNT(*) AS names FROM ({L}) GROUP BY event_type"
+both("kv_latest", KV_LATEST.replace("{L}", LAST), KV_LATEST.replace("{L}", DUCK_LAST))
+both("kv_prefix", KV_PREFIX.replace("{L}", LAST), KV_PREFIX.replace("{L}", DUCK_LAST))
+both(
+    "kv_delete",
+    "SELECT user_id, last.value AS value FROM (SELECT user_id, max_by(struct(event_type, value), event_id) AS last FROM {events} GROUP BY user_id) WHERE last.event_type <> 'error'",
+    "SELECT user_id, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'",
+)
 both("kv_counter", f"SELECT event_id, user_id, CAST(COUNT(*) {OVER} AS BIGINT) AS counter FROM {{events}}")
+# each customer's orders point to the next one: a window numbers what a walk would visit
+IN_CHAIN = "OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"
 both(
     "linked_chain",
-    """WITH RECURSIVE o AS (SELECT o_orderkey, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM {orders} WHERE o_custkey <= 20),
-walk(head, at_key, next_key, depth) AS (SELECT o_orderkey, o_orderkey, next_key, 1 FROM o WHERE k = 1 UNION ALL SELECT w.head, o.o_orderkey, o.next_key, w.depth + 1 FROM walk w JOIN o ON o.o_orderkey = w.next_key)
+    f"SELECT head, CAST(MAX(k) AS BIGINT) AS links FROM (SELECT FIRST_VALUE(o_orderkey) {IN_CHAIN} AS head, ROW_NUMBER() {IN_CHAIN} AS k FROM {{orders}}) GROUP BY head",
+    """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+walk(head, next_key, depth) AS (SELECT o_orderkey, next_key, 1 FROM o WHERE k = 1 UNION ALL SELECT w.head, o.next_key, w.depth + 1 FROM walk w JOIN o ON o.o_orderkey = w.next_key)
 SELECT head, CAST(MAX(depth) AS BIGINT) AS links FROM walk GROUP BY head""",
 )
 
-# the chains of all customers, numbered by a window: the walk above takes customers up to 20 only
-IN_CHAIN = "OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"
-both("linked_chain_all", f"SELECT head, CAST(MAX(k) AS BIGINT) AS links FROM (SELECT FIRST_VALUE(o_orderkey) {IN_CHAIN} AS head, ROW_NUMBER() {IN_CHAIN} AS k FROM {{orders}}) GROUP BY head")
-
 
 @query()
 def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +89,3 @@ def stream_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
         return events.groupBy("user_id").agg(F.max(F.struct("event_id", "value")).alias("last"))
 
     return run_stream(spark, f"{sf_dir}/events*.parquet", plan).select("user_id", "last.event_id", "last.value")
-
-

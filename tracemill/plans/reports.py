@@ -1,16 +1,19 @@
 """Filters, groups, pivots, ranks and statistics over the driver tables, in SQL that both engines read."""
 
+from ..functions.expressions import at, cumulated, gcd
 from .catalogue import both
 
 # sums, extremes and filters
 both("revenue_total", "SELECT CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(38,4)) AS revenue FROM {lineitem}")
 both("average_price", "SELECT ROUND(CAST(SUM(CAST(p_retailprice AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*), 4) AS average_price FROM {part}")
 both("below_stock", "SELECT p_partkey, p_size FROM {part} WHERE p_size < 10")
-both("name_order", "SELECT s_name, CAST(ROW_NUMBER() OVER (ORDER BY s_name, s_suppkey) AS BIGINT) AS place FROM {supplier}")
+# places by blocks of names: counts of the blocks give the offsets, so that no task holds the whole table
+both("name_order", """WITH b AS (SELECT s_name, s_suppkey, substring(s_name, 1, 17) AS block FROM {supplier}), c AS (SELECT block, COUNT(*) AS n FROM b GROUP BY block),
+o AS (SELECT block, CAST(SUM(n) OVER (ORDER BY block) - n AS BIGINT) AS before FROM c)
+SELECT s_name, before + ROW_NUMBER() OVER (PARTITION BY b.block ORDER BY s_name, s_suppkey) AS place FROM b JOIN o ON b.block = o.block""", "SELECT s_name, ROW_NUMBER() OVER (ORDER BY s_name, s_suppkey) AS place FROM supplier")
 both("team_max", "SELECT c_mktsegment, GREATEST(MAX(c_acctbal), 0.0) AS highest FROM {customer} GROUP BY c_mktsegment")
 both("top_value", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")
 both("category_count", "SELECT COUNT(DISTINCT p_brand) AS categories FROM {part}")
-both("median_price", "SELECT CAST(MEDIAN(p_retailprice) AS DOUBLE) AS median_price FROM {part}")
 both("threshold_count", "SELECT CONCAT('There are ', CAST(COUNT(*) AS VARCHAR(20)), ' lines with a quantity of 25 or more.') AS sentence FROM {lineitem} WHERE l_quantity >= 25")
 both("reverse_order", "SELECT n_nationkey, n_name, CAST(ROW_NUMBER() OVER (ORDER BY n_nationkey DESC) AS BIGINT) AS place FROM {nation}")
 both("boolean_tally", "SELECT CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS answer, COUNT(*) AS n FROM {labels} GROUP BY 1")
@@ -40,19 +43,38 @@ both(
 )
 # statistics
 both("weighted_score", "SELECT ROUND(CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_quantity AS DECIMAL(6,0))) AS DOUBLE) / CAST(SUM(CAST(l_quantity AS DECIMAL(6,0))) AS DOUBLE), 3) AS weighted FROM {lineitem}")
-both(
+def both_div(name: str, sql: str) -> None:
+    """`//` is whole division, `div` in Spark."""
+    both(name, sql.replace("//", "div"), sql)
+
+
+# the quartiles are the medians of the halves, without the middle row of an odd number
+both_div(
     "median_spread",
-    "SELECT CAST(MEDIAN(p_size) AS DOUBLE) AS median_size, CAST(MAX(p_size) - MIN(p_size) AS BIGINT) AS spread, CAST(percentile_disc(0.75) WITHIN GROUP (ORDER BY p_size) - percentile_disc(0.25) WITHIN GROUP (ORDER BY p_size) AS BIGINT) AS middle FROM {part}",
-    "SELECT CAST(MEDIAN(p_size) AS DOUBLE) AS median_size, CAST(MAX(p_size) - MIN(p_size) AS BIGINT) AS spread, CAST(quantile_disc(p_size, 0.75) - quantile_disc(p_size, 0.25) AS BIGINT) AS middle FROM part",
+    f"""WITH {cumulated("c", "p_brand", "p_size", "{part}")}, m AS (SELECT p_brand, n, n // 2 AS h, {{MIDDLE}} FROM c GROUP BY p_brand, n)
+SELECT p_brand, median, spread, CAST(((q3a + q3b) - (q1a + q1b)) AS DOUBLE) / 2 AS middle FROM m""".replace(
+        "{MIDDLE}",
+        f"CAST({at('(n + 1) // 2')} + {at('n // 2 + 1')} AS DOUBLE) / 2 AS median, CAST(MAX(v) - MIN(v) AS BIGINT) AS spread, {at('(n // 2 + 1) // 2')} AS q1a, {at('n // 2 // 2 + 1')} AS q1b, "
+        f"{at('(n + 1) // 2 + (n // 2 + 1) // 2')} AS q3a, {at('(n + 1) // 2 + n // 2 // 2 + 1')} AS q3b",
+    ),
 )
 both("harmonic_mean", "SELECT ROUND(COUNT(*) / CAST(SUM(CAST(1 / l_quantity AS DECIMAL(20,12))) AS DOUBLE), 2) AS harmonic FROM {lineitem} WHERE l_quantity > 0")
 both("correlation", "SELECT ROUND(CORR(l_quantity, l_extendedprice), 4) AS r FROM {lineitem}")
-both("percentile_rank", "SELECT COUNT(*) FILTER (WHERE p_size <= 25) AS numerator, COUNT(*) AS denominator, CAST(ROUND(100.0 * COUNT(*) FILTER (WHERE p_size <= 25) / COUNT(*), 4) AS DOUBLE) AS rank FROM {part}", "SELECT COUNT(*) FILTER (WHERE p_size <= 25) AS numerator, COUNT(*) AS denominator, CAST(ROUND(100.0 * COUNT(*) FILTER (WHERE p_size <= 25) / COUNT(*), 4) AS DOUBLE) AS rank FROM part")
+RANKED = "SELECT COUNT(*) FILTER (WHERE p_size <= 25) AS n, COUNT(*) AS d FROM {part}"
+both(
+    "percentile_rank",
+    f"SELECT n div g AS numerator, d div g AS denominator FROM (SELECT n, d, {gcd('n', 'd')} AS g FROM ({RANKED}))",
+    f"SELECT n // gcd(n, d) AS numerator, d // gcd(n, d) AS denominator FROM ({RANKED})",
+)
 QUANT = "SELECT l_returnflag, CAST(CAST(SUM(CAST(l_quantity AS DECIMAL(12,0))) AS DECIMAL(22,0)) AS BIGINT) AS n FROM {lineitem} GROUP BY l_returnflag"
-both("scaled_bars", f"WITH t AS ({QUANT}) SELECT l_returnflag, n, CAST(FLOOR(100.0 * n / MAX(n) OVER ()) AS BIGINT) AS scaled FROM t")
+# percent of the largest, halves to the even number
+both_div("scaled_bars", f"""WITH t AS ({QUANT}), p AS (SELECT l_returnflag, n, 100 * n AS a, MAX(n) OVER () AS m FROM t)
+SELECT l_returnflag, n, a // m + CASE WHEN 2 * (a % m) > m OR (2 * (a % m) = m AND (a // m) % 2 = 1) THEN 1 ELSE 0 END AS scaled FROM p""")
 both("rank_bars", "WITH t AS (SELECT event_type, COUNT(*) AS n FROM {events} GROUP BY event_type) SELECT event_type, n, CAST(RANK() OVER (ORDER BY n DESC, event_type) AS BIGINT) AS place FROM t")
-both("bucket_bars", "SELECT CAST(FLOOR(l_quantity / 10) AS BIGINT) AS band, COUNT(*) AS n FROM {lineitem} GROUP BY 1")
-both("delta_bars", "WITH t AS (SELECT CAST(l_linenumber AS BIGINT) AS line, COUNT(*) AS n FROM {lineitem} GROUP BY 1) SELECT line, n, ABS(n - LAG(n) OVER (ORDER BY line)) AS delta FROM t")
+both("bucket_bars", "SELECT CASE WHEN 2 * l_quantity <= 33 THEN 'low' WHEN 2 * l_quantity <= 66 THEN 'middle' ELSE 'high' END AS band, COUNT(*) AS n FROM {lineitem} GROUP BY 1")
+# before and after are the first and the second half of the year
+both("delta_bars", """SELECT l_returnflag, ABS(n_after - n_before) AS delta, n_before, n_after FROM (SELECT l_returnflag, COUNT(*) FILTER (WHERE MONTH(l_shipdate) <= 6) AS n_before,
+COUNT(*) FILTER (WHERE MONTH(l_shipdate) > 6) AS n_after FROM {lineitem} GROUP BY l_returnflag)""")
 both(
     "split_cents",
     """WITH t AS (SELECT n_regionkey, COUNT(*) AS w FROM {nation} GROUP BY n_regionkey), s AS (SELECT n_regionkey, w, 10003 * w AS part, SUM(w) OVER () AS total FROM t),
@@ -65,14 +87,12 @@ both(
     "WITH d AS (SELECT unnest(range(0, 21)) AS v) SELECT COUNT(*) AS ways FROM d a JOIN d b ON a.v + b.v <= 30 JOIN d c ON a.v + b.v + c.v = 30",
 )
 # distributions and grouping sets
-both(
-    "length_distribution",
-    "SELECT lang, MIN(n_chars) AS least, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars) AS BIGINT) AS middle, CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars) AS BIGINT) AS p95, MAX(n_chars) AS most FROM {documents} GROUP BY lang",
-    "SELECT lang, MIN(n_chars) AS least, CAST(quantile_disc(n_chars, 0.5) AS BIGINT) AS middle, CAST(quantile_disc(n_chars, 0.95) AS BIGINT) AS p95, MAX(n_chars) AS most FROM documents GROUP BY lang",
-)
+both_div("length_distribution", f"WITH {cumulated('c', 'lang', 'n_chars', '{documents}')} SELECT lang, MIN(v) AS least, {at('n // 2 + 1')} AS middle, {at('(95 * n + 99) // 100')} AS p95, MAX(v) AS most FROM c GROUP BY lang")
+both_div("length_alternative", f"WITH {cumulated('c', 'lang', 'n_chars', '{documents}')} SELECT lang, CAST({at('(n + 1) // 2')} + {at('n // 2 + 1')} AS DOUBLE) / 2 AS median, {at('(n - 1) * 95 // 100 + 1')} AS p95 FROM c GROUP BY lang")
+both_div("median_price", f"WITH {cumulated('c', '1', 'p_retailprice', '{part}')} SELECT ({at('(n + 1) // 2')} + {at('n // 2 + 1')}) / 2 AS median_price FROM c")
 both("grouping_report", "SELECT d.lang, d.source, COUNT(*) AS n, COUNT(l.doc_id) AS labelled, CAST(SUM(n_chars) AS BIGINT) AS chars FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY GROUPING SETS ((d.lang, d.source), (d.lang), (d.source), ())")
 both("macro_average", "WITH m AS (SELECT lang, AVG(CAST(quality AS DOUBLE)) AS mean FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY lang) SELECT ROUND(AVG(mean), 10) AS macro, ROUND(MIN(mean), 10) AS worst, COUNT(*) AS families FROM m")
-both("source_counts", "SELECT source, COUNT(*) AS observed, COUNT(*) FILTER (WHERE toxic = 1) AS failed, COUNT(*) - COUNT(DISTINCT text) AS duplicates, COUNT(*) FILTER (WHERE quality = 1 AND toxic = 0) AS admitted FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source")
+both("source_counts", "SELECT source, COUNT(*) AS observed, COUNT(*) FILTER (WHERE toxic = 1) AS failed, COUNT(*) - COUNT(DISTINCT md5(text)) AS duplicates, COUNT(*) FILTER (WHERE quality = 1 AND toxic = 0) AS admitted FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source")
 both(
     "task_audit",
     "SELECT source, COUNT(*) AS n, array_join(array_sort(collect_set(lang)), ',') AS families FROM {documents} GROUP BY source",

@@ -1,6 +1,12 @@
 """Words, lines, retrieval, leakage and screening over documents and conversations."""
 
-from .catalogue import both
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.retrieval import top_matches
+from .catalogue import both, query, table
 
 TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9_]+', 0)"
 DUCK_TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9_]+')"
@@ -31,40 +37,72 @@ both(
 )
 both(
     "longest_line",
-    "SELECT doc_id, max_by(line, struct(length(line), -pos)) AS line, CAST(max(length(line)) AS BIGINT) AS n FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents}) GROUP BY doc_id",
-    "SELECT doc_id, arg_max(line, length(line) * 1000000 - pos) AS line, CAST(max(length(line)) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) GROUP BY doc_id",
+    "SELECT doc_id, max_by(line, struct(length(line), -pos)) AS line, CAST(max(length(line)) AS BIGINT) AS n FROM (SELECT doc_id, posexplode(split(regexp_replace(text, '\\n$', ''), '\\n')) AS (pos, line) FROM {documents}) GROUP BY doc_id",
+    "SELECT doc_id, arg_max(line, length(line) * 1000000 - pos) AS line, CAST(max(length(line)) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), 1) AS pos FROM documents) GROUP BY doc_id",
 )
 both(
     "unique_lines",
-    "SELECT doc_id, CAST(size(array_distinct(split(text, '\\n'))) AS BIGINT) AS n_unique, CAST(size(split(text, '\\n')) AS BIGINT) AS n_lines FROM {documents}",
-    "SELECT doc_id, CAST(len(list_distinct(string_split(text, chr(10)))) AS BIGINT) AS n_unique, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents",
+    "SELECT doc_id, CAST(size(array_distinct(split(regexp_replace(text, '\\n$', ''), '\\n'))) AS BIGINT) AS n_unique, CAST(size(split(regexp_replace(text, '\\n$', ''), '\\n')) AS BIGINT) AS n_lines FROM {documents}",
+    "SELECT doc_id, CAST(len(list_distinct(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)))) AS BIGINT) AS n_unique, CAST(len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS BIGINT) AS n_lines FROM documents",
 )
 both(
     "occurrence_context",
-    "SELECT doc_id, CAST(MIN(pos) + 1 AS BIGINT) AS line_number, min_by(line, pos) AS line FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents}) WHERE contains(lower(line), 'the') GROUP BY doc_id",
-    "SELECT doc_id, CAST(MIN(pos) AS BIGINT) AS line_number, arg_min(line, pos) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE contains(lower(line), 'the') GROUP BY doc_id",
+    "SELECT doc_id, CAST(MIN(pos) + 1 AS BIGINT) AS line_number, min_by(line, pos) AS line FROM (SELECT doc_id, posexplode(split(regexp_replace(text, '\\n$', ''), '\\n')) AS (pos, line) FROM {documents}) WHERE contains(lower(line), 'the') GROUP BY doc_id",
+    "SELECT doc_id, CAST(MIN(pos) AS BIGINT) AS line_number, arg_min(line, pos) AS line FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), 1) AS pos FROM documents) WHERE contains(lower(line), 'the') GROUP BY doc_id",
 )
 both("cross_split_overlap", "SELECT md5(text) AS digest, COUNT(DISTINCT source) AS splits, COUNT(*) AS n FROM {documents} GROUP BY 1 HAVING COUNT(DISTINCT source) > 1")
 both("content_reuse", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN (SELECT MIN(doc_id) AS doc_id FROM {documents} GROUP BY md5(text)) f ON d.doc_id = f.doc_id", "SELECT d.doc_id FROM documents d ANTI JOIN (SELECT MIN(doc_id) AS doc_id FROM documents GROUP BY md5(text)) f ON d.doc_id = f.doc_id")
 both("secret_screen", "SELECT doc_id, COUNT(*) AS n FROM (SELECT doc_id, explode(regexp_extract_all(text, '(AKIA[0-9A-Z]+|(password|token)[ =:]+[^ ]+)', 0)) AS hit FROM {documents}) GROUP BY doc_id", "SELECT doc_id, COUNT(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(AKIA[0-9A-Z]+|(password|token)[ =:]+[^ ]+)')) AS hit FROM documents) GROUP BY doc_id")
 
-SCORES = "SELECT b.item_id, t.doc_id, COUNT(*) AS score FROM b JOIN t ON b.word = t.word GROUP BY b.item_id, t.doc_id"
-SEARCH = "WITH b AS (SELECT DISTINCT item_id, word FROM ({B})), t AS (SELECT DISTINCT doc_id, word FROM ({T})), s AS (" + SCORES + "), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) "
+SEARCH = f"""WITH b AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest({duck_words('text')}) AS word FROM benchmark)),
+t AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest({duck_words('text')}) AS word FROM documents)),
+s AS (SELECT b.item_id, t.doc_id, COUNT(*) AS score FROM b JOIN t ON b.word = t.word GROUP BY b.item_id, t.doc_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) """
 
 
-def search(tail: str) -> tuple[str, str]:
-    spark = SEARCH.replace("{B}", f"SELECT item_id, explode({words('text')}) AS word FROM {{benchmark}}").replace("{T}", f"SELECT doc_id, explode({words('text')}) AS word FROM {{documents}}")
-    duck = SEARCH.replace("{B}", f"SELECT item_id, unnest({duck_words('text')}) AS word FROM benchmark").replace("{T}", f"SELECT doc_id, unnest({duck_words('text')}) AS word FROM documents")
-    return spark + tail, duck + tail.replace("{benchmark}", "benchmark")
+def found(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return top_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n)
+
+
+@query(SEARCH + "SELECT item_id, doc_id, score, place FROM r WHERE place <= 5")
+def local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir, 5)
+
+
+@query(SEARCH + "SELECT item_id, MAX(doc_id) FILTER (WHERE place = 1) AS first, MAX(doc_id) FILTER (WHERE place = 2) AS second FROM r WHERE place <= 2 GROUP BY item_id")
+def ranked_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = lambda k: F.max(F.when(F.col("place") == k, F.col("doc_id")))
+    return found(spark, sf_dir, 2).groupBy("item_id").agg(by(1).alias("first"), by(2).alias("second"))
+
+
+@query("WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'zzqxj' || item_id ELSE text END AS text FROM benchmark), " + SEARCH.replace("WITH ", "").replace("FROM benchmark", "FROM q") + "SELECT q.item_id, r.doc_id, r.score FROM q LEFT JOIN r ON q.item_id = r.item_id AND r.place = 1")
+def no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third query has a word that no document has: its result is empty."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("zzqxj"), F.col("item_id").cast("string"))).otherwise(F.col("text")).alias("text"))
+    best = top_matches(table(spark, sf_dir, "documents"), asked, 1)
+    return asked.join(best, "item_id", "left").select("item_id", "doc_id", "score")
+
+
+@query(SEARCH + "SELECT item_id, r.doc_id, regexp_extract(text, '([A-Z][a-z]+)', 1) AS fact, length(regexp_extract(text, '^([^.]*)', 1)) AS opening FROM r JOIN documents d ON r.doc_id = d.doc_id WHERE place = 1")
+def fact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = found(spark, sf_dir, 1).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("item_id", "doc_id", F.regexp_extract("text", "([A-Z][a-z]+)", 1).alias("fact"), F.length(F.regexp_extract("text", "^([^.]*)", 1)).cast("long").alias("opening"))
+
+
+LONG = "([a-z]{9,15})"
+
+
+@query(SEARCH + f"""SELECT f.item_id, f.doc_id AS first_doc, f.word, MIN(t.doc_id) AS second_doc FROM (SELECT item_id, r.doc_id, regexp_extract(lower(text), '{LONG}', 1) AS word FROM r JOIN documents d ON r.doc_id = d.doc_id WHERE place = 1) f
+LEFT JOIN t ON t.word = f.word AND t.doc_id <> f.doc_id GROUP BY ALL""")
+def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best document names a word, its first long one; the second hop is the first other document with that word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = found(spark, sf_dir, 1).join(docs, "doc_id").select("item_id", F.col("doc_id").alias("first_doc"), F.regexp_extract(F.lower("text"), LONG, 1).alias("word"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    pairs = first.join(held, "word").where("doc_id <> first_doc").groupBy("item_id").agg(F.min("doc_id").alias("second_doc"))
+    return first.join(pairs, "item_id", "left").select("item_id", "first_doc", "word", "second_doc")
 
 
-both("local_search", *search("SELECT item_id, doc_id, score, CAST(place AS BIGINT) AS place FROM r WHERE place <= 5"))
-both("no_match", *search("SELECT i.item_id, MAX(s.score) AS best FROM {benchmark} i LEFT JOIN s ON i.item_id = s.item_id AND s.score >= 40 GROUP BY i.item_id"))
-both(
-    "two_hop",
-    *search("""SELECT f.item_id, MIN(f.doc_id) AS first_doc, MIN(u.doc_id) AS second_doc FROM (SELECT item_id, doc_id FROM r WHERE place = 1) f
-JOIN (SELECT doc_id, MAX(word) AS word FROM t GROUP BY doc_id) w ON w.doc_id = f.doc_id LEFT JOIN t u ON u.word = w.word AND u.doc_id <> f.doc_id GROUP BY f.item_id"""),
-)
 # a document that contains an item holds the item's longest inner word whole: they meet on it; items without one are few
 both(
     "benchmark_leak",
