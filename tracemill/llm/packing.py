@@ -70,11 +70,25 @@ class Encoder:
         parts = json.loads(tokenizer_json)
         split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         drops = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
-        self.by_words = split.get("pattern") == {"Regex": _PATTERN} and bool(split.get("invert")) and parts.get("normalizer") == drops
+        model = parts.get("model") or {}
+        last = model.get("end_of_word_suffix")
+        vocabulary = model.get("vocab") if last and isinstance(model.get("vocab"), dict) else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1 + len(parts.get("added_tokens") or []), dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(last)]] = True
+        self.by_words = bool(vocabulary) and split.get("pattern") == {"Regex": _PATTERN} and bool(split.get("invert")) and parts.get("normalizer") == drops
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """As `_ids` for words of letters alone: as one text, cut after each id that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
+        if len(ends) != len(words):
+            return self._ids(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _apart(self, stem: str) -> bool:
         """True if the stem's ids and those of a mark after it are the ids of both together."""
         if not stem.isalpha():
@@ -103,13 +117,16 @@ class Encoder:
                 stems[stem].append((word, tail))
             else:
                 cache[word] = found + tail
-        new = list(stems)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for stem, ids in zip(part, self._ids(part), strict=True):
-                cache[stem] = ids
-                for word, tail in stems[stem]:
-                    cache[word] = ids + tail
+        plain: dict[bool, list[str]] = {True: [], False: []}
+        for stem in stems:
+            plain[self._apart(stem)].append(stem)
+        for alone, new in plain.items():
+            for at in range(0, len(new), 10_000):
+                part = new[at : at + 10_000]
+                for stem, ids in zip(part, (self._letters if alone else self._ids)(part), strict=True):
+                    cache[stem] = ids
+                    for word, tail in stems[stem]:
+                        cache[word] = ids + tail
 
     def encode(self, text: str) -> bytes:
         if not self.by_words or "<|" in text or _ODD_SPACE.search(text):
