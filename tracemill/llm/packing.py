@@ -16,6 +16,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, with a bounded cache of the ids of words.
 
     A tokenizer with the pattern above drops white space and never merges across it, so a text's ids are those of its words
-    in turn; a word's letters and one mark after them are apart as well, and ASCII case is dropped. That letters and mark
+    in turn; a word's letters and one mark after them are apart as well, and ASCII case is dropped, so that words are kept
+    as lower-cased bytes. That letters and mark
     are apart is tried out on the tokenizer for each letter once (`İ`, for one, becomes a letter and an accent, which joins
     the mark). Texts with unusual white space or with the strings of special tokens, and all texts of other tokenizers, go
     to the tokenizer whole. The cache has two generations of `entries` words.
@@ -63,9 +65,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.entries = entries
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = {m: self._ids([m])[0] for m in self.MARKS}
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks = {m.encode(): self._ids([m])[0] for m in self.MARKS}
         self.letters: dict[str, bool] = {}
         parts = json.loads(tokenizer_json)
         split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -89,57 +91,60 @@ class Encoder:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _apart(self, stem: str) -> bool:
+    def _apart(self, stem: bytes) -> bool:
         """True if the stem's ids and those of a mark after it are the ids of both together."""
+        if stem.isalpha():  # of bytes: ASCII letters alone
+            return True
+        stem = stem.decode()
         if not stem.isalpha():
             return False
-        if stem.isascii():
-            return True
         for c in set(stem).difference(self.letters):
-            found = self._ids([c, *(c + m for m in self.MARKS)])
-            self.letters[c] = all(both == found[0] + self.marks[m] for m, both in zip(self.MARKS, found[1:], strict=True))
+            found = self._ids([c, *(c + m.decode() for m in self.marks)])
+            self.letters[c] = all(both == found[0] + mark for mark, both in zip(self.marks.values(), found[1:], strict=True))
         return all(map(self.letters.__getitem__, stem))
 
-    def _learn(self, words: list[str]) -> None:
-        cache, old = self.cache, self.old
-        stems: dict[str, list[tuple[str, bytes]]] = defaultdict(list)
+    def _learn(self, words: set[bytes]) -> None:
+        cache, old, marks = self.cache, self.old, self.marks
+        stems: dict[bytes, list[tuple[bytes, bytes]]] = defaultdict(list)
+        alone, mixed = [], []
         for word in words:
             if word in old:
                 cache[word] = old[word]
                 continue
-            stem, tail = word, b""
-            if word[-1] in self.MARKS and self._apart(word[:-1]):
-                stem, tail = word[:-1], self.marks[word[-1]]
-            if stem.isascii():
-                stem = stem.lower()
+            stem, tail = word, marks.get(word[-1:], b"")
+            if tail:
+                stem = word[:-1]
+            apart = self._apart(stem)
+            if not apart:
+                stem, tail = word, b""
             found = cache.get(stem) or old.get(stem)
-            if found is None:
-                stems[stem].append((word, tail))
-            else:
+            if found is not None:
                 cache[word] = found + tail
-        plain: dict[bool, list[str]] = {True: [], False: []}
-        for stem in stems:
-            plain[self._apart(stem)].append(stem)
-        for alone, new in plain.items():
+            else:
+                if stem not in stems:
+                    (alone if apart else mixed).append(stem)
+                stems[stem].append((word, tail))
+        for new, ids_of in ((alone, self._letters), (mixed, self._ids)):
             for at in range(0, len(new), 10_000):
                 part = new[at : at + 10_000]
-                for stem, ids in zip(part, (self._letters if alone else self._ids)(part), strict=True):
+                for stem, ids in zip(part, ids_of(list(map(bytes.decode, part))), strict=True):
                     cache[stem] = ids
                     for word, tail in stems[stem]:
                         cache[word] = ids + tail
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_words or "<|" in text or _ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            pass
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split: list[list[bytes] | None] = [t.encode().lower().split() if self.by_words and "<|" not in t and not _ODD_SPACE.search(t) else None for t in texts]
         if len(self.cache) > self.entries:
             self.old, self.cache = self.cache, {}
-        self._learn(list(set(words).difference(self.cache)))
-        return b"".join(map(self.cache.__getitem__, words))
+        missing = set(chain.from_iterable(filter(None, split))).difference(self.cache)
+        if missing:
+            self._learn(missing)
+        ids = self.cache.__getitem__
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return [whole(t) if words is None else b"".join(map(ids, words)) for t, words in zip(texts, split, strict=True)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(1)
@@ -148,6 +153,18 @@ def encoder(tokenizer_json: str) -> Encoder:
     return Encoder(tokenizer_json)
 
 
+def _chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about `most` characters, at least one text each: their new words are learnt together."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 class Packer:
     """Packs (document, ids) into windows; closed windows come out as (pieces), a piece being (document, start, ids)."""
 
@@ -241,7 +258,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     stop = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(vocab.value).encode, Packer(window)
+        encode_all, packer = encoder(vocab.value).encode_all, Packer(window)
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -261,11 +278,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
             return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if i == 7 else pa.int64()) for i, c in enumerate(columns)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + stop
-                take(packer.add((doc, len(ids) // 4), ids))
-                if len(rows) > (200 if with_ids else 20_000):
-                    yield out()
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, to in _chunks(texts):
+                for doc, ids in zip(docs[at:to], encode_all(texts[at:to]), strict=True):
+                    ids += stop
+                    take(packer.add((doc, len(ids) // 4), ids))
+                    if len(rows) > (200 if with_ids else 20_000):
+                        yield out()
         take(packer.pour())
         if rows:
             yield out()
