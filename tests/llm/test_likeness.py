@@ -1,6 +1,7 @@
 """Near copies by shingles, against all pairs of a small table."""
 
 import numpy as np
+import pyarrow as pa
 
 from tracemill.llm import likeness, simhash
 from tracemill.llm.common import Scratch
@@ -85,3 +86,28 @@ def test_keep_distinct_follows_chains(spark):
     assert all(_near(sets[i], sets[j]) == (i // 5 == j // 5 and i - j == 1) for i in range(30) for j in range(i))
     docs = spark.createDataFrame([(i, t, "k", "a", "n", "d") for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in simhash.keep_distinct(docs).collect()) == list(range(0, 30, 5))
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    from tracemill.llm import common
+
+    key = common._BATCH
+    before = spark.conf.get(key, None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    def most():
+        rows = common.documents(spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 100000) AS text"))
+        found = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) == 40
+        return max(found)
+
+    try:
+        spark.conf.unset(key)
+        assert most() <= 10
+        spark.conf.set(key, str(1 << 30))  # a session's own bound stays
+        assert most() == 40
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

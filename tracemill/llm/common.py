@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch, about, where the session sets no bound of its own. By rows alone a batch of long texts takes
+#: tens of MB, several times over in the JVM and in each Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +56,17 @@ class Scratch:
         self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._tracemill_path), True)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """The same rows, whose Arrow batches, as all later ones of the session, are bounded in bytes."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return rows
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), without whatever else the table carries."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, blocks: int = 1024, attach: DataFrame | None = None) -> DataFrame:

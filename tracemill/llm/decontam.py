@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded, documents
 
 #: Masks over a span of 12 tokens; 1 marks a token that counts.
 MASKS = ("110110101101", "111001011011", "101111000111", "111100111001")
@@ -190,5 +190,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_
             for batch in batches:
                 yield batch.filter(pa.array([not table.overlaps(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs

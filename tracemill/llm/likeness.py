@@ -29,7 +29,7 @@ _SALTS = 16
 class _Words:
     """64-bit hashes of words, each computed once while it stays in a cache of bounded size."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -89,10 +89,12 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
         keys = _bands()
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            found = pa.array([keys(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))
-            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), same, found], ["doc_id", "same", "keys"])
+            found, same = [], []
+            for t in batch.column(1):  # one text's shingles at a time
+                h = shingles(t.as_py())
+                found.append(keys(h) if len(h) else [])
+                same.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
 
     return rows.mapInArrow(run, "doc_id long, same binary, keys array<long>")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, bounded, documents
 
 #: Least share of right votes that a labeler is granted.
 RIGHT = 0.75
@@ -268,4 +268,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(chars_at, kind, pa.array([None if t is None else len(t) for t in texts], kind.type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

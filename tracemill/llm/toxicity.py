@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded, documents
 from .likeness import shingles
 
 #: Labelled rows of each class that the fit reads at most, and the longest text among them, in bytes.
@@ -225,4 +225,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array([rate(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
