@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, packing, pii, quality, sharding, simhash, substring, tokencount, toxicity
+from . import decontam, divergence, fingerprint, manifest, packing, pii, quality, rules, sharding, simhash, substring, tokencount, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +56,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_token_count, op3_toxicity, op4_packing, op5_pii, op6_decontamination, op7_order_minhash, op8_sharding, op9_substring_dedup, op10_simhash)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(_docs(spark, sf_dir))
+
+
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.line_rules(_docs(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op2_token_count, op3_toxicity, op4_packing, op5_pii, op6_decontamination, op7_order_minhash, op8_sharding, op9_substring_dedup, op10_simhash, op11_merkle_manifest, op12_line_rules, op13_source_divergence)}
