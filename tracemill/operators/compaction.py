@@ -23,35 +23,52 @@ def groups(said: list[Message]) -> list[list[Message]]:
     return units
 
 
-def halfway(units: list[list[Message]], cost: Callable[[list[Message]], int]) -> int:
-    """How many leading units, at least one and not all, come closest to half the cost; of equals the fewest."""
-    total, so_far, best = sum(map(cost, units)), 0, None
+def halfway(units: list[list[Message]], cost: Callable[[list[Message]], int], pinned: list[Message] | None = None) -> int:
+    """How many leading units, at least one and not all, come closest to half the cost; of equals the fewest.
+
+    Costs are of whole prefixes after the pinned messages, less the pinned ones' own, so that a cost need not add up.
+    """
+    front = list(pinned or [])
+    own = cost(front)
+    total, said, best = max(0, cost(front + [m for u in units for m in u]) - own), front, None
     for n, unit in enumerate(units[:-1], 1):
-        so_far += cost(unit)
-        best = min(best or (abs(2 * so_far - total), n), (abs(2 * so_far - total), n))
+        said = said + unit
+        found = (abs(2 * max(0, cost(said) - own) - total), n)
+        best = min(best or found, found)
     return best[1]
 
 
-def compact(said: list[Message], mode: str, cost, summarise, choose=None) -> tuple[list[Message], str | None]:
-    """(messages, reason). Leading system messages stay. `full` summarises all the rest, `half` the older half by cost,
-    `manual` all but the units whose numbers `choose(units)` gives. Reason is null if the result costs less; otherwise
-    the messages come back unchanged with the reason why not."""
-    pinned = next((i for i, m in enumerate(said) if m["role"] != "system"), len(said))
-    units = groups(said[pinned:])
+def plan(said: list[Message], mode: str, cost, summarise, choose=None) -> dict | str:
+    """What a compaction of these messages would do, or why there is none: pinned, source, retained, split_index, keep and summary.
+
+    Leading system messages are pinned. `full` summarises all the rest, `half` the older half by cost, `manual` all but the
+    units whose numbers `choose(units)` gives.
+    """
+    front = next((i for i, m in enumerate(said) if m["role"] != "system"), len(said))
+    units, keep = groups(said[front:]), []
     if len(units) < (2 if mode == "half" else 1):
-        return said, "nothing to compact"
+        return "nothing to compact"
+    cut = halfway(units, cost, said[:front]) if mode == "half" else len(units)
+    old, kept = units[:cut], units[cut:]
     if mode == "manual":
         keep = sorted(choose(units))
         if len(set(keep)) < len(keep) or any(not 0 <= k < len(units) for k in keep):
-            return said, "bad choice"
-        old, kept = units, [units[k] for k in keep]
-    else:
-        cut = halfway(units, cost) if mode == "half" else len(units)
-        old, kept = units[:cut], units[cut:]
-    text = summarise([m for u in old for m in u])
+            return "bad choice"
+        kept = [units[k] for k in keep]
+    source = [m for u in old for m in u]
+    text = summarise(source)
     if not text or not text.strip():
-        return said, "empty summary"
-    now = [*said[:pinned], {"role": "user", "content": text}, *(m for u in kept for m in u)]
+        return "empty summary"
+    return {"pinned": said[:front], "source": source, "retained": [m for u in kept for m in u], "split_index": None if mode == "manual" else front + len(source), "keep": keep, "summary": text}
+
+
+def compact(said: list[Message], mode: str, cost, summarise, choose=None) -> tuple[list[Message], str | None]:
+    """(messages, reason) after a `plan`. Reason is null if the result costs less; otherwise the messages come back unchanged
+    with the reason why not."""
+    done = plan(said, mode, cost, summarise, choose)
+    if isinstance(done, str):
+        return said, done
+    now = [*done["pinned"], {"role": "user", "content": done["summary"]}, *done["retained"]]
     return (now, None) if cost(now) < cost(said) else (said, "not smaller")
 
 

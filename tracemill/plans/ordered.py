@@ -55,10 +55,12 @@ SELECT head, CAST(MAX(depth) AS BIGINT) AS links FROM walk GROUP BY head""",
 )
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, concat_ws('|', event_type, CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR), props) AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+w(user_id, n_rows, head) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), '' FROM e UNION ALL SELECT w.user_id, k, sha256(head || '|' || payload) FROM w JOIN e ON e.user_id = w.user_id AND k = n_rows + 1)
+SELECT user_id, max(n_rows) AS n_rows, max_by(head, n_rows) AS head FROM w GROUP BY user_id""")
 def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return fold_chain(events, "user_id", "event_id", F.concat_ws("|", "event_type", F.col("value").cast("string"), "props"))
+    return fold_chain(events, "user_id", "event_id", F.concat_ws("|", "event_type", F.col("value").cast("decimal(18,4)").cast("string"), "props"))
 
 
 @query()
