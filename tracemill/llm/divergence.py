@@ -182,7 +182,8 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, width: int = WIDT
     exact = exact.withColumns({"docs": F.sum("docs").over(of_term), "all_n": F.sum("n").over(of_term), "first": F.lag("n").over(of_term.orderBy("source")).isNull()})
     counts = scratch.save(exact.where(F.col("docs") >= least).drop("docs"), "counts")
 
-    langs = counts.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("v"), F.sum("n").alias("total"))
+    # tables of languages and of sources are written first: joins see how small they are, and need not deal terms by language
+    langs = scratch.save(counts.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("v"), F.sum("n").alias("total")), "langs")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs.select("lang", "v"), "lang", "left").fillna(0, ["total", "v"])
     groups = scratch.save(groups.withColumn("p0", share(0)), "groups")
