@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tracemill-{uuid.uuid4().hex}/{name}"
+    home = f"{root.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)  # only notes what is there already
+    return f"{home}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

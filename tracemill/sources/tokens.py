@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 IGNORED = -100
@@ -87,6 +87,20 @@ def stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def ordered_digest(rows: DataFrame, key: str, ordinal: str, digest: Column, fan: int = 1024) -> DataFrame:
+    """(key, digest) over rows whose ordinals run from 0 without gaps: hashes of `fan` neighbours are hashed together, level by
+    level, until a key has one. The same at any partitioning, another if two rows change places; no group exceeds `fan`."""
+    now = rows.select(F.col(key), F.col(ordinal).cast("long").alias("_i"), digest.alias("digest"))
+    now = now.join(now.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+    most = now.agg(F.max("_n")).first()[0] or 0
+    while most > 1:
+        hashes = F.transform(F.array_sort(F.collect_list(F.struct("_i", "digest"))), lambda x: x["digest"])
+        one = F.when(F.col("_n") == 1, F.min("digest")).otherwise(F.sha2(F.array_join(hashes, ""), 256))
+        now = now.groupBy(key, F.expr(f"_i div {fan}").alias("_i"), "_n").agg(one.alias("digest")).withColumn("_n", F.ceil(F.col("_n") / fan).cast("long"))
+        most = -(-most // fan)
+    return now.select(key, "digest")
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """(split, ordinal, data): each example in the binary form."""
 
