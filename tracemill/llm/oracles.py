@@ -27,9 +27,9 @@ win AS (SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT rid,
 again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(generate_series(i, i + 4)) AS p FROM again) GROUP BY rid),
 l AS (SELECT rid, k, lines[k] AS line, translate(lines[k], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS solid FROM (SELECT rid, lines, unnest(generate_series(1, len(lines))) AS k FROM d)),
-m AS (SELECT *, length(line) - length(solid) + 1 AS n, len(regexp_extract_all(line, '{rules._END_INSIDE}')) AS ends, length(regexp_replace(line, '{rules._NO_NOISE}', '', 'g')) AS noise,
+m AS (SELECT *, length(line) - length(solid) + 1 AS n, len(regexp_extract_all(line, '{rules._END_INSIDE}')) AS ends, len(regexp_extract_all(line, '{rules._NOISE}')) AS noise,
   upper(line) = line AND lower(line) <> line AND contains(line, '!!') AS shouted FROM l),
-r AS (SELECT rid, k, line, length(solid) AS size, CASE WHEN solid = '' THEN NULL WHEN regexp_matches(line, '{rules._BOILERPLATE}') THEN 'boilerplate' WHEN regexp_matches(line, '{rules._NAVIGATION}') THEN 'navigation'
+r AS (SELECT rid, k, line, length(solid) AS size, CASE WHEN solid = '' THEN NULL WHEN regexp_matches(lower(line), '{rules._BOILERPLATE}') THEN 'boilerplate' WHEN regexp_matches(line, '{rules._PARTS}') OR regexp_matches(line, '{rules._ELSEWHERE}') THEN 'navigation'
   WHEN NOT regexp_matches(line, '{rules._ENDED.replace("'", "''")}') AND ends * {rules._SENTENCE_WORDS} < n OR noise * 10 > n * 3 OR shouted THEN 'punctuation' END AS rule FROM m),
 x AS (SELECT rid, coalesce(sum(size) FILTER (WHERE rule IS NOT NULL), 0) AS lost, count(*) FILTER (WHERE rule = 'punctuation') AS p, count(*) FILTER (WHERE rule = 'navigation') AS v, count(*) FILTER (WHERE rule = 'boilerplate') AS b,
   count(*) FILTER (WHERE size > 0) - count(DISTINCT line) FILTER (WHERE size > 0) AS dup, sum(size) AS chars, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE rule IS NULL), '') AS rest FROM r GROUP BY rid)
