@@ -36,6 +36,36 @@ def test_greedy_leaves_no_trace_of_rejected_rows(spark):
     assert sorted(r.o for r in greedy_two_keys(rows, "o", "a", "b").collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_equals_a_walk(spark, seed):
+    import random
+
+    from tracemill.operators.select import greedy_two_keys
+
+    r = random.Random(seed)
+    n = (40, 150, 150, 400)[seed]
+    keys = (n, n // 2, 6, n)[seed]
+    made = [(i, None if r.random() < 0.03 else f"a{r.randrange(keys)}", f"b{r.randrange(keys)}") for i in range(n)]
+    used_a, used_b, want = set(), set(), []
+    for i, a, b in made:
+        if a is not None and a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            want.append(i)
+    r.shuffle(made)
+    assert sorted(x.o for x in greedy_two_keys(spark.createDataFrame(made, "o int, a string, b string"), "o", "a", "b").collect()) == want
+
+
+def test_greedy_along_a_path_of_conflicts_takes_few_tables(spark, monkeypatch):
+    from tracemill.operators import select
+
+    made = []
+    monkeypatch.setattr(select, "written", lambda df, name, write=select.written: made.append(name) or write(df, name))
+    path = spark.range(100_000).selectExpr("id AS o", "id div 2 AS a", "(id + 1) div 2 AS b")
+    got = select.greedy_two_keys(path, "o", "a", "b")
+    assert got.count() == 50_000 and got.where("o % 2 = 1").isEmpty() and len(made) < 30
+
+
 def test_chain_matches_a_fold(spark):
     import hashlib
 

@@ -63,7 +63,11 @@ def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_chain(events, "user_id", "event_id", F.concat_ws("|", "event_type", F.col("value").cast("decimal(18,4)").cast("string"), "props"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source || '/' || n_chars AS identity, md5(text) AS fingerprint, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+w(k, doc_id, used_a, used_b, ok) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false UNION ALL
+SELECT d.k, d.doc_id, CASE WHEN f THEN list_append(used_a, identity) ELSE used_a END, CASE WHEN f THEN list_append(used_b, fingerprint) ELSE used_b END, f
+FROM (SELECT w.k AS last, used_a, used_b, d.*, NOT list_contains(used_a, identity) AND NOT list_contains(used_b, fingerprint) AS f FROM w JOIN d ON d.k = w.k + 1) d)
+SELECT doc_id, identity, fingerprint FROM w JOIN d USING (doc_id) WHERE ok""")
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("n_chars").cast("string")).alias("identity"), F.md5("text").alias("fingerprint"))
     return greedy_two_keys(docs, "doc_id", "identity", "fingerprint")

@@ -28,4 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read back: later uses neither recompute it nor depend on an executor's disk."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tracemill_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove a written table that nothing unevaluated reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._tracemill_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
