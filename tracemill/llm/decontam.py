@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask chooses some of the tokens of a short span and ignores the rest, so a few substituted tokens leave some mask's
-hash as it was. The hashes of all benchmark spans form a table that is joined, as a broadcast, with the hashes of every
-span of every document. Around each hit the two token runs are laid side by side, and the best stretch (1 for a match,
--3 for a difference) must hold enough matches; or the whole item lies in the document with most of its tokens matching,
-which also finds short items with a few tokens changed. A benchmark beyond `BLOCK_BYTES` is taken in blocks of that size, each
-against all documents.
+hash as it was. Documents are read once: a Bloom filter over the hashes of all benchmark spans passes on the few whose spans
+may be among them, with their tokens. Those hashes are joined with the benchmark's by a shuffle, and around each hit the two
+token runs are laid side by side: the best stretch (1 for a match, -3 for a difference) must hold enough matches; or the whole
+item lies in the document with most of its tokens matching, which also finds short items with a few tokens changed. Equal
+items, and equal documents, are looked at once. What a worker holds is the filter: three bytes for each span of the benchmark
+up to `MOST_BYTES`, beyond which it passes more documents on and results stay the same.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, documents
+from .common import Scratch, bounded, documents
 
 #: Masks over a span of 12 tokens; 1 marks a token that counts.
 MASKS = ("110110101101", "111001011011", "101111000111", "111100111001")
@@ -27,7 +28,8 @@ SPAN = 12
 LEAST = 13
 #: Share of an item's tokens that must match where the whole item is laid against a document (items of a span or more).
 SHARE = 0.8
-BLOCK_BYTES = 16 << 20
+#: Bits of the filter for each span hash, probes of each, bytes of a part of it that is built at once, and of all of it.
+BITS, PROBES, PART, MOST_BYTES = 24, 8, 1 << 16, 128 << 20
 _TOKEN = re.compile(r"\w+")
 _ODD = 0x9E3779B97F4A7C15  # fixed value: odd multiplier
 
@@ -57,138 +59,219 @@ def spans(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return _mix(total)
 
 
-class Table:
-    """The hash table of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], least: int = LEAST):
-        self.ids = [i for i, _ in items]
-        self.tokens = [hashes(t) for _, t in items]
-        self.need = [min(least, len(t)) for t in self.tokens]
-        #: Items shorter than a span are looked up whole, by one full mask for each length.
-        short = sorted({len(t) for t in self.tokens if 0 < len(t) < SPAN})
-        self.masks = [(m, k + 1) for k, m in enumerate(MASKS)] + [("1" * n, 100 + n) for n in short]
-        rows = []
-        for at, t in enumerate(self.tokens):
-            for mask, salt in self.masks:
-                if (len(t) >= SPAN) if salt < 100 else len(t) == len(mask):
-                    h = spans(t, mask, salt)
-                    rows.append((h, np.full(len(h), at), np.arange(len(h))))
-        h, item, place = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(h, kind="stable")
-        self.keys, self.item, self.place = h[order], item[order], place[order]
-        #: One bit for each possible hash prefix settles nearly all misses without a search.
-        self.shift = np.uint64(64 - max(16, int(len(h) * 16).bit_length()))
-        self.prefix = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
-        self.prefix[(self.keys >> self.shift).astype(np.int64)] = True
-
-    def hits(self, tokens: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item's place, the starts of the item relative to the document at which some span hash is equal.
-
-        Starts are marked, not listed by pair of places: a document and an item that repeat one span meet at no more
-        starts than they have tokens together, however many pairs of places agree.
-        """
-        marks: dict[int, np.ndarray] = {}
-        for mask, salt in self.masks:
-            h = spans(tokens, mask, salt)
-            at = np.nonzero(self.prefix[(h >> self.shift).astype(np.int64)])[0]
-            low, high = (np.searchsorted(self.keys, h[at], side) for side in ("left", "right"))
-            at, low, high = at[high > low], low[high > low], high[high > low]
-            if not len(at):
-                continue
-            order = np.argsort(low, kind="stable")
-            cut = np.nonzero(np.diff(low[order], prepend=-1))[0].tolist()
-            for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
-                own = at[order[a:b]]
-                for j in range(low[order[a]], high[order[a]]):
-                    item = int(self.item[j])
-                    if item not in marks:
-                        marks[item] = np.zeros(len(self.tokens[item]) + len(tokens), dtype=bool)
-                    marks[item][own - self.place[j] + len(self.tokens[item])] = True
-        return {item: np.nonzero(m)[0] - len(self.tokens[item]) for item, m in marks.items()}
-
-    def overlaps(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item id, matching tokens, length, start in the document, start in the item): the best overlap of each item."""
-        if not len(self.keys):
-            return []
-        tokens = hashes(text)
-        out = []
-        for item, shifts in self.hits(tokens).items():
-            size = max(1, (1 << 20) // len(self.tokens[item]))
-            best = max((x for at in range(0, len(shifts), size) if (x := self._best(item, tokens, shifts[at : at + size]))), default=None)
-            if best:
-                m, n, d, b = best
-                out.append((self.ids[item], m, -n, -d, -b))
-        return sorted(out)
-
-    def _best(self, item: int, tokens: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int, int] | None:
-        """(matches, -length, -start in the document, -start in the item) of the best overlap at these starts."""
-        own = self.tokens[item]
-        place = shifts[:, None] + np.arange(len(own))
-        inside = (place >= 0) & (place < len(tokens))
-        same = inside & (own == tokens[np.clip(place, 0, len(tokens) - 1)])
-        # beyond the document's ends a stretch neither gains nor goes on
-        total = np.cumsum(np.where(same, 1, -3), axis=1)
-        total = np.concatenate([np.zeros((len(shifts), 1), dtype=total.dtype), total], axis=1)
-        floor = np.minimum.accumulate(total, axis=1)
-        end = (total - floor).argmax(axis=1)
-        start = np.where(np.arange(total.shape[1]) <= end[:, None], total, total.max() + 1).argmin(axis=1)
-        seen = np.concatenate([np.zeros((len(shifts), 1), dtype=np.int64), np.cumsum(same, axis=1)], axis=1)
-        row = np.arange(len(shifts))
-        found = [(int(m), a - e, -(a + s), -a) for m, a, e, s in zip(seen[row, end] - seen[row, start], start.tolist(), end.tolist(), shifts.tolist(), strict=True) if m >= self.need[item]]
-        if len(own) >= SPAN:
-            for i in np.nonzero(inside.all(axis=1) & (seen[:, -1] >= SHARE * len(own)))[0].tolist():
-                found.append((int(seen[i, -1]), -len(own), -int(shifts[i]), 0))
-        return max(found, default=None)
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = size // block_bytes + 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _masks(short: list[int]) -> list[tuple[str, int]]:
+    """(mask, salt): items shorter than a span are looked up whole, by one full mask for each length."""
+    return [(m, k + 1) for k, m in enumerate(MASKS)] + [("1" * n, 100 + n) for n in short]
+
+
+def item_spans(tokens: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(hash, place) of an item's spans under every mask; no two of one hash and place."""
+    for mask, salt in _masks([len(tokens)] if 0 < len(tokens) < SPAN else []):
+        if len(tokens) >= SPAN or salt > 100:
+            yield from zip(spans(tokens, mask, salt).tolist(), range(len(tokens) - len(mask) + 1), strict=True)
+
+
+class Filter:
+    """A Bloom filter in parts of PART bytes: a hash picks a part, and PROBES bits of it."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.parts = bits, len(bits) // PART
+
+    @staticmethod
+    def parts_for(n: int, most: int = MOST_BYTES) -> int:
+        return max(1, min(-(-n * BITS // (8 * PART)), most // PART))
+
+    @staticmethod
+    def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+    @staticmethod
+    def probe(h: np.ndarray, k: int) -> np.ndarray:
+        x = _mix(h ^ np.uint64(0x9E3779B97F4A7C15))
+        return ((x & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((x >> np.uint64(32)) | np.uint64(1))) & np.uint64(8 * PART - 1)
+
+    def passed(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes that may have been added; most of the others go with the first probes."""
+        at = np.arange(len(h))
+        base = self.part_of(h, self.parts).astype(np.int64) * PART
+        for k in range(PROBES):
+            bit = self.probe(h[at], k)
+            at = at[(self.bits[base[at] + (bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return at
+
+
+def best(own: np.ndarray, tokens: np.ndarray, shifts: np.ndarray, need: int) -> tuple[int, int, int, int] | None:
+    """(matches, -length, -start in the document, -start in the item) of the best overlap at these starts."""
+    place = shifts[:, None] + np.arange(len(own))
+    inside = (place >= 0) & (place < len(tokens))
+    same = inside & (own == tokens[np.clip(place, 0, len(tokens) - 1)])
+    # beyond the document's ends a stretch neither gains nor goes on
+    total = np.cumsum(np.where(same, 1, -3), axis=1)
+    total = np.concatenate([np.zeros((len(shifts), 1), dtype=total.dtype), total], axis=1)
+    floor = np.minimum.accumulate(total, axis=1)
+    end = (total - floor).argmax(axis=1)
+    start = np.where(np.arange(total.shape[1]) <= end[:, None], total, total.max() + 1).argmin(axis=1)
+    seen = np.concatenate([np.zeros((len(shifts), 1), dtype=np.int64), np.cumsum(same, axis=1)], axis=1)
+    row = np.arange(len(shifts))
+    found = [(int(m), a - e, -(a + s), -a) for m, a, e, s in zip(seen[row, end] - seen[row, start], start.tolist(), end.tolist(), shifts.tolist(), strict=True) if m >= need]
+    if len(own) >= SPAN:
+        for i in np.nonzero(inside.all(axis=1) & (seen[:, -1] >= SHARE * len(own)))[0].tolist():
+            found.append((int(seen[i, -1]), -len(own), -int(shifts[i]), 0))
+    return max(found, default=None)
+
+
+def starts(pairs: list[tuple[list[int], list[int]]], own: int, tokens: int) -> np.ndarray:
+    """Starts of an item relative to a document, of places in the document and in the item with one hash.
+
+    Starts are marked, not listed by pair of places: a document and an item that repeat one span meet at no more starts
+    than they have tokens together, however many pairs of places agree.
+    """
+    marks = np.zeros(own + tokens, dtype=bool)
+    for there, here in pairs:
+        d = np.array(there, dtype=np.int64)
+        for place in here:
+            marks[d - place + own] = True
+    return np.nonzero(marks)[0] - own
+
+
+def overlap(own: np.ndarray, tokens: np.ndarray, pairs: list[tuple[list[int], list[int]]], least: int) -> tuple[int, int, int, int] | None:
+    """(matching tokens, length, start in the document, start in the item) of the best overlap, or null."""
+    shifts, size = starts(pairs, len(own), len(tokens)), max(1, (1 << 20) // max(1, len(own)))
+    found = [x for at in range(0, len(shifts), size) if (x := best(own, tokens, shifts[at : at + size], min(least, len(own))))]
+    if not found:
+        return None
+    m, n, d, b = max(found)
+    return m, -n, -d, -b
+
+
+class Benchmark:
+    """The items that have tokens, their span hashes and the filter over them."""
+
+    def __init__(self, benchmark: DataFrame, scratch: Scratch, most: int = MOST_BYTES):
+        spark = benchmark.sparkSession
+        rows = bounded(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+
+        def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [hashes(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.astype("<u8").tobytes() for t in found], pa.binary())], ["item_id", "tokens"])
+
+        #: (item_id, item, tokens): `item` stands for all items of the same tokens.
+        self.rows = scratch.save(rows.mapInArrow(tokenized, "item_id long, tokens binary").where(F.octet_length("tokens") > 0).withColumn("item", F.sha2("tokens", 256)), "items")
+        self.items = self.rows.groupBy("item").agg(F.min("tokens").alias("tokens"))
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    at: dict[int, list[int]] = {}
+                    for h, place in item_spans(np.frombuffer(raw, "<u8")):
+                        at.setdefault(h, []).append(place)
+                    if at:
+                        h = np.fromiter(at, np.uint64, len(at)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([item] * len(at), pa.string()), pa.array(h, pa.int64()), pa.array(list(at.values()), pa.list_(pa.int32()))], ["item", "h", "here"])
+
+        #: (item, h, here): the places of each hash in an item.
+        self.spans = scratch.save(self.items.mapInArrow(hashed, "item string, h long, here array<int>"), "spans")
+        short = self.items.where(F.octet_length("tokens") < 8 * SPAN).select((F.octet_length("tokens") / 8).cast("int").alias("n")).distinct()
+        self.masks = _masks(sorted(r["n"] for r in short.collect()))  # at most eleven lengths
+        parts = Filter.parts_for(self.spans.count(), most)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(Filter.part_of(h, parts).astype(np.int32), pa.int32()), batch.column(0)], ["part", "h"])
+
+        def built(table: pa.Table) -> pa.Table:
+            h = table["h"].to_numpy().astype(np.int64).view(np.uint64)
+            bits = np.zeros(8 * PART, dtype=bool)
+            for k in range(PROBES):
+                bits[Filter.probe(h, k).astype(np.int64)] = True
+            return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        whole = np.zeros(parts * PART, np.uint8)
+        for row in self.spans.select("h").distinct().mapInArrow(dealt, "part int, h long").groupBy("part").applyInArrow(built, "part int, bits binary").toLocalIterator():
+            whole[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(bytes(row["bits"]), np.uint8)
+        self.filter = spark.sparkContext.broadcast(whole)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with two hashes that stand for the text where texts are compared."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return rows.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
+
+
+def _found(docs: DataFrame, bench: Benchmark, scratch: Scratch, least: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, overlaps): (doc_id, _k1, _k2) of documents that the filter passes, and (_k1, _k2, item, n_matched, n_overlap,
+    doc_start, item_start) for each different text among them and each different item that overlap."""
+    masks, bits = bench.masks, bench.filter
+    kind = "doc_id long, _k1 long, _k2 long, rid long, tokens binary, hits array<struct<h: long, there: array<int>>>"
+    hit = pa.list_(pa.struct([("h", pa.int64()), ("there", pa.list_(pa.int32()))]))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        sieve, rid = Filter(bits.value), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            out = []
+            for doc, text, k1, k2 in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens, at = hashes(text), {}
+                for mask, salt in masks:
+                    h = spans(tokens, mask, salt)
+                    on = sieve.passed(h)
+                    for x, place in zip(h[on].view(np.int64).tolist(), on.tolist(), strict=True):
+                        at.setdefault(x, []).append(place)
+                rid += 1
+                if at:
+                    out.append((doc, k1, k2, rid, tokens.astype("<u8").tobytes(), [{"h": h, "there": places} for h, places in at.items()]))
+            if out:
+                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), hit), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "_k1", "_k2", "rid", "tokens", "hits"])
+
+    rows = scratch.save(_keyed(documents(docs)).mapInArrow(passed, kind), "passed")
+    # of equal texts one is looked at
+    one = scratch.save(rows.join(rows.groupBy("_k1", "_k2").agg(F.min("rid").alias("rid")).select("rid"), "rid"), "texts")
+    hits = one.select("rid", F.explode("hits").alias("x")).select("rid", "x.h", "x.there").join(bench.spans, "h")
+    pairs = hits.groupBy("rid", "item").agg(F.collect_list(F.struct("there", "here")).alias("places"))
+    pairs = pairs.join(bench.items.withColumnRenamed("tokens", "own"), "item").join(one.select("rid", "_k1", "_k2", "tokens"), "rid")
+    out = "_k1 long, _k2 long, item string, n_matched long, n_overlap long, doc_start long, item_start long"
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k1, k2, item, own, tokens, places in zip(*(batch.column(i) for i in range(6)), strict=True):
+                at = [(x["there"], x["here"]) for x in places.as_py()]
+                o = overlap(np.frombuffer(own.as_py(), "<u8"), np.frombuffer(tokens.as_py(), "<u8"), at, least)
+                if o:
+                    found.append((k1.as_py(), k2.as_py(), item.as_py(), *o))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "item" else pa.int64()) for n, c in zip(names, zip(*found, strict=True), strict=True)], names)
+
+    laid_out = pairs.select("_k1", "_k2", "item", "own", "tokens", "places").mapInArrow(laid, out)
+    return rows.select("doc_id", "_k1", "_k2"), scratch.save(laid_out, "overlaps")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, most: int = MOST_BYTES) -> DataFrame:
     """doc_id, item_id, n_matched, n_overlap, doc_start, item_start: the best overlap of each leaking pair, in tokens.
 
     Null texts count as empty; items without tokens or with a null item_id match nothing. Repeated documents each have
     their rows, repeated items likewise; of overlaps with equal matches the shortest, then the first counts. Documents
     with a null doc_id are looked at like any other. Empty tables give an empty result; other columns are ignored.
     """
-    schema = "doc_id long, item_id long, n_matched long, n_overlap long, doc_start long, item_start long"
-    names = [c.split()[0] for c in schema.split(", ")]
-    rows, out = documents(docs), None
-    for items in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = Table(shared.value, least)
-            for batch in batches:
-                found = [(d, *o) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for o in table.overlaps(t)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
+    scratch = Scratch(docs.sparkSession)
+    bench = Benchmark(benchmark, scratch, most)
+    rows, found = _found(docs, bench, scratch, least)
+    return rows.join(found, ["_k1", "_k2"]).join(bench.rows.select("item", "item_id"), "item").select("doc_id", "item_id", "n_matched", "n_overlap", "doc_start", "item_start")
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out
 
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, most: int = MOST_BYTES) -> DataFrame:
     """The rows of docs, all columns unchanged, that overlap no benchmark item.
 
     Null text counts as empty and overlaps nothing. Rows that repeat go or stay together, a null doc_id makes no
     difference; without benchmark items all rows stay, and an empty table gives an empty result.
     """
-    at = docs.columns.index("text")
-    for items in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = Table(shared.value, least)
-            for batch in batches:
-                yield batch.filter(pa.array([not table.overlaps(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
-
-        docs = bounded(docs).mapInArrow(run, docs.schema)
-    return docs
+    scratch = Scratch(docs.sparkSession)
+    _, found = _found(docs, Benchmark(benchmark, scratch, most), scratch, least)
+    gone = scratch.save(found.select("_k1", "_k2").distinct(), "leaking")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.join(gone, (F.xxhash64(text) == gone["_k1"]) & (F.xxhash64(F.lit(1), text) == gone["_k2"]), "left_anti")
