@@ -103,17 +103,18 @@ def followers(ids: DataFrame, scratch: Scratch, key: str = "k") -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row for each doc_id.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row for each row of docs.
 
     The edited text ends with the beginning of the next document's instead of its own last third. Null text counts as
-    empty; rows that repeat a doc_id count as one document with the smallest text; a null doc_id sorts below all others
+    empty. Rows of one doc_id are documents of their own, one after the other in the order of a hash of their texts, the
+    largest first; rows that repeat a text as well have one place and equal results. A null doc_id sorts below all others
     and is returned as null. A single document is its own next one. An empty table gives an empty result; other columns
     are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     low = -(1 << 63)
-    rows = documents(docs).select(F.coalesce("doc_id", F.lit(low)).alias("k"), "text")
-    texts = rows.groupBy("k").agg(F.min("text").alias("text"))
+    rows = documents(docs).select(F.struct(F.coalesce("doc_id", F.lit(low)).alias("id"), F.xxhash64("text").alias("h")).alias("k"), "text")
+    texts = rows.groupBy("k").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     after = followers(rows, scratch)
     most = rows.groupBy("k").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("most"))
     heads = after.join(most, "k").join(texts.select(F.col("k").alias("next"), F.col("text").alias("other")), "next")
@@ -121,8 +122,9 @@ def fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
     both = texts.join(heads, "k")
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("other", F.lit(1), third))
-    both = both.select("k", "next", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    made = both.select("k", "next", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), order_minhash(F.col("text"), bins).alias("fingerprint"), order_minhash(F.col("edited"), bins).alias("edited_fingerprint"))
+    both = both.select("k", "next", "copies", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    made = both.select("k", "next", "copies", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), order_minhash(F.col("text"), bins).alias("fingerprint"), order_minhash(F.col("edited"), bins).alias("edited_fingerprint"))
     made = scratch.save(made, "prints")
     other = made.select(F.col("k").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
-    return made.join(other, "next").select(F.when(F.col("k") != low, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), bins).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), bins).alias("near_next"))
+    out = made.join(other, "next").select(F.when(F.col("k.id") != low, F.col("k.id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), bins).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), bins).alias("near_next"), "copies")
+    return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "col")
