@@ -103,6 +103,36 @@ def test_toxicity_finds_planted_words():
     assert 0 <= rate("") <= 1
 
 
+def test_toxicity_score_is_a_logistic_of_compression_gains():
+    import math
+
+    import zstandard as z
+
+    r = np.random.default_rng(5)
+    plain = [" ".join("".join(r.choice(list("aeioulnrst"), 5)) for _ in range(60)) for _ in range(60)]
+    texts, y = [t + " zorgbat vilequux" * (i % 2) for i, t in enumerate(plain)], [i % 2 for i in range(60)]
+    model = toxicity.fit(texts, y)
+    how = z.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=16, search_log=4, min_match=4, strategy=z.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda content, w: len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress(w))
+    for text in (*texts[:4], "", "One"):
+        words = text.lower().split()
+        parts = [f" {' '.join(words[i : i + 6])} ".encode() for i in range(0, len(words), 6)]
+        gains = [size(model.ordinary, p) - size(model.toxic, p) for p in parts]
+        counts = [sum(g >= t for g in gains) for t in toxicity.GAINS]
+        x = [*(math.log(1 + c) for c in counts), *(math.sqrt(c / max(1, len(parts))) for c in counts), min(20, max([0, *gains])), math.log(1 + len(parts))]
+        score = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=False)) + model.weights[-1]
+        assert abs(toxicity._scorer(model)(text) - 1 / (1 + math.exp(-max(-30, min(30, score))))) < 1e-9
+
+
+def test_copies_weigh_as_one():
+    base = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4)]
+    group = toxicity.copies([base[0], base[1], base[0] + " end", base[2], base[1], base[3]])
+    assert group[0] == group[2] and group[1] == group[4] and len(set(group)) == 4
+    plain = ["quite ordinary words"] * 30
+    once = toxicity.toxic_grams(["a moron"], plain, ([1.0], [1.0] * 30))
+    assert toxicity.toxic_grams(["a moron"] * 20, plain, ([0.05] * 20, [1.0] * 30)) == once and b"moron" in toxicity.toxic_grams(["a moron"] * 20, plain)
+
+
 def test_toxicity_rows(docs, labels):
     rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
@@ -293,7 +323,7 @@ def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, changed), (2, "quick brown fox"), (3, ""), (4, None), (5, "not there at all in any of these documents whatever one looks for")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
     assert got == {(7, 1), (8, 1), (9, 1), (None, 1), (0, 2), (14, 2)}
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, block_bytes=100).collect()} == got
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, most=decontam.PART).collect()} == got
     kept = decontam.drop_leaks(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, 6, 10, 11, 12, 15, 16}
 
@@ -303,40 +333,90 @@ def _alignments(item, doc):
     return max((sum(a == b for a, b in zip(item, doc[i : i + len(item)])) for i in range(len(doc) - len(item) + 1)), default=0)
 
 
-def test_decontamination_recall_against_all_alignments():
+def test_decontamination_recall_against_all_alignments(spark):
     r = np.random.default_rng(12)
     word = lambda: "".join(r.choice(list("abcdefghij"), 5))
     items = [[word() for _ in range(int(r.integers(12, 60)))] for _ in range(60)]
-    table = decontam.Table([(i, " ".join(t)) for i, t in enumerate(items)])
-    found = wanted = 0
+    made, wanted = [], set()
     for i, item in enumerate(items):
         for share in (0.0, 0.05, 0.1, 0.2):
             w = [word() if r.random() < share else x for x in item]
             doc = [word() for _ in range(30)] + w + [word() for _ in range(30)]
-            got = {o[0] for o in table.overlaps(" ".join(doc))}
-            assert got <= {i}
+            made.append((len(made), " ".join(doc)))
             if _alignments(item, doc) >= 0.8 * len(item):
-                wanted += 1
-                found += i in got
-        assert not table.overlaps(" ".join(word() for _ in range(100)))
-    assert wanted > 150 and found >= 0.97 * wanted
-
-
-def test_decontamination_of_repeated_tokens():
-    table = decontam.Table([(1, "la " * 400), (2, "do re " * 200), (3, "other words " + " ".join(f"w{i}" for i in range(30)))])
+                wanted.add((len(made) - 1, i))
+        made.append((len(made), " ".join(word() for _ in range(100))))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(o.doc_id, o.item_id) for o in decontam.leaks(docs, bench).collect()}
+    assert all(d // 5 == i and d % 5 < 4 for d, i in got)
+    assert len(wanted) > 150 and len(got & wanted) >= 0.97 * len(wanted)
+
+
+def _every_overlap(docs, items):
+    """What `leaks` finds if every place of a document is laid against every place of an item that agrees under some mask."""
+    out = set()
+    for doc, text in docs:
+        tokens = decontam.hashes(text)
+        for item, other in items:
+            own = decontam.hashes(other)
+            short = [len(own)] if 0 < len(own) < decontam.SPAN else []
+            pairs = []
+            for mask, salt in decontam._masks(short):
+                if len(own) and (len(own) >= decontam.SPAN) == (salt < 100):
+                    there, here = (decontam.spans(x, mask, salt).tolist() for x in (tokens, own))
+                    pairs += [([i], [j]) for i, x in enumerate(there) for j, y in enumerate(here) if x == y]
+            o = decontam.overlap(own, tokens, pairs, decontam.LEAST) if pairs else None
+            if o:
+                out.add((doc, item, *o))
+    return out
+
+
+def test_decontamination_equals_every_pair(spark):
+    r = np.random.default_rng(3)
+    text = lambda n: " ".join(r.choice(list("abcdefgh"), n))
+    shared = "this one sentence stands in a great many items of the benchmark and in one document too"
+    items = [(i, text(int(r.integers(1, 40))) + (f" {shared} {i}" if i % 3 == 0 else "")) for i in range(40)] + [(7, "same id other text " + shared), (100, shared), (101, shared)]
+    docs = [(i, text(int(r.integers(0, 60))) + " " + items[i % 40][1]) for i in range(30)] + [(50, shared), (51, "nothing of it all"), (52, "la " * 300)]
+    frames = spark.createDataFrame(docs + docs[:1], "doc_id long, text string"), spark.createDataFrame([*items, (300, "la " * 90)], "item_id long, text string")
+    want = _every_overlap(docs, [*items, (300, "la " * 90)])
+    for most in (decontam.MOST_BYTES, decontam.PART):
+        got = [tuple(o) for o in decontam.leaks(*frames, most=most).collect()]
+        assert set(got) == want and len(got) == len(want) + sum(w[0] == 0 for w in want)
+    assert {o.doc_id for o in decontam.drop_leaks(*frames).collect()} == {i for i, _ in docs} - {w[0] for w in want}
+
+
+def test_a_full_filter_lets_everything_pass():
+    h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.zeros(2 * decontam.PART, np.uint8)
+    for k in range(decontam.PROBES):
+        at = decontam.Filter.part_of(h, 2).astype(np.int64) * decontam.PART * 8 + decontam.Filter.probe(h, k).astype(np.int64)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    assert decontam.Filter(bits).passed(h).tolist() == list(range(len(h)))
+    other = np.arange(1, 20000, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    assert len(decontam.Filter(bits).passed(other)) < 20
+    assert len(decontam.Filter(np.full(decontam.PART, 255, np.uint8)).passed(other)) == len(other)
+
+
+def test_decontamination_of_repeated_tokens(spark):
+    bench = spark.createDataFrame([(1, "la " * 400), (2, "do re " * 200), (3, "other words " + " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "la " * 8000 + "do re " * 3000)], "doc_id long, text string")
     began = time.time()
-    got = {o[0]: o for o in table.overlaps("la " * 8000 + "do re " * 3000)}
-    assert time.time() - began < 10 and set(got) == {1, 2}
-    assert got[1][1:] == (400, 400, 0, 0) and got[2][1:] == (400, 400, 8000, 0)
+    got = {o.item_id: tuple(o)[2:] for o in decontam.leaks(docs, bench).collect()}
+    assert time.time() - began < 60 and got == {1: (400, 400, 0, 0), 2: (400, 400, 8000, 0)}
 
 
 def test_fingerprints(docs):
-    texts = {}
+    groups = collections.defaultdict(set)
     for i, t in TEXTS:
-        texts[i] = min(texts.get(i, t or ""), t or "")
+        groups[i].add(t or "")
+    assert all(len(g) == 1 for g in groups.values())
+    texts = {i: next(iter(g)) for i, g in groups.items()}
     order = sorted((i for i in texts if i is not None), reverse=True) + [None]
-    rows = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
-    assert len(rows) == len(order)
+    every = fingerprint.fingerprints(docs).collect()
+    assert sorted(str(r.doc_id) for r in every) == sorted(str(i) for i, _ in TEXTS)
+    rows = {r.doc_id: r for r in every}
+    assert all(r == rows[r.doc_id] for r in every)
     for at, i in enumerate(order):
         own, following = texts[i], texts[order[(at + 1) % len(order)]]
         third = len(own) // 3
@@ -346,6 +426,19 @@ def test_fingerprints(docs):
     assert rows[6].near_edited > 0.3 and rows[15].near_next < 0.2 and rows[16].near_next > 0.8
 
 
+def test_every_row_of_a_repeated_id_has_a_fingerprint(spark):
+    made = [(1, "first text of one id"), (1, "second text, same id"), (1, "second text, same id"), (2, "another id here"), (None, "none"), (None, "nothing")]
+    got = fingerprint.fingerprints(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.n_chars) for r in got) == sorted(((i or 0), len(t)) for i, t in made)
+    following = collections.defaultdict(set)
+    for r in got:
+        own = {t for i, t in made if i == r.doc_id and len(t) == r.n_chars}
+        for t in own:
+            following[r.doc_id, t].update(o for _, o in made if hashlib.sha256((t[: len(t) - len(t) // 3] + o[: len(t) // 3]).encode()).hexdigest() == r.edited_sha256)
+    assert "another id here" in {t for (i, t), f in following.items() if i == 2} and all(following.values())
+    assert following[2, "another id here"] & {t for i, t in made if i == 1}
+
+
 def test_fingerprints_keep_order(spark):
     r = np.random.default_rng(2)
     word = lambda: "".join(r.choice(list("abcdefghij"), 5))

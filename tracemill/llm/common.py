@@ -35,6 +35,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path)  # a folder that is not there yet is not noted for removal
         self._fs.deleteOnExit(path)
         self._n = 0
 

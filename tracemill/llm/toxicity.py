@@ -30,7 +30,8 @@ SAMPLE, SAMPLE_BYTES = 3000, 20_000
 TRAINED, SIZE = 60_000, 16_384
 #: Least likelihood ratio of a toxic gram, its length, and the characters beyond it that a passage takes in.
 RATIO, GRAM, MARGIN = 14.0, 5, 2
-#: Bytes of text below which a dictionary is that text itself: zstandard keeps next to nothing of so little.
+#: Bytes of samples below which a dictionary is the samples themselves, without training: zstandard keeps next to nothing of
+#: so little. Seen only where there are about a hundred toxic documents or fewer to learn from.
 FEW = 4096
 WORDS = 6
 GAINS = (2, 3, 4, 6, 8, 11)
@@ -85,16 +86,25 @@ def _grams(word: bytes, n: int = GRAM) -> set[bytes]:
     return {word[i : i + n] for i in range(len(word) - n + 1)}
 
 
-def toxic_grams(toxic: list[str], ordinary: list[str], least: float = RATIO) -> set[bytes]:
-    """Grams within words that more of the toxic texts have than chance allows: a likelihood ratio of `least` or more."""
-    n, m = len(toxic), len(ordinary)
-    held = [Counter(g for t in texts for g in set().union(*map(_grams, set(_words(t))))) for texts in (toxic, ordinary)]
+def toxic_grams(toxic: list[str], ordinary: list[str], weights: tuple[list[float], list[float]] | None = None, least: float = RATIO) -> set[bytes]:
+    """Grams within words that more of the toxic texts have than chance allows: a likelihood ratio of `least` or more.
 
-    def ratio(a: int, b: int) -> float:
+    `weights` are of the toxic and of the ordinary texts; copies of one text should count as one."""
+    weights = weights or ([1.0] * len(toxic), [1.0] * len(ordinary))
+    n, m = map(sum, weights)
+    held = []
+    for texts, each in zip((toxic, ordinary), weights, strict=True):
+        found: dict[bytes, float] = {}
+        for t, w in zip(texts, each, strict=True):
+            for g in set().union(*map(_grams, set(_words(t)))):
+                found[g] = found.get(g, 0.0) + w
+        held.append(found)
+
+    def ratio(a: float, b: float) -> float:
         even = (a + b) / (n + m)
         return 2 * (a * math.log(a / (even * n)) + (b * math.log(b / (even * m)) if b else 0.0))
 
-    return {g for g, a in held[0].items() if a * m > held[1][g] * n and ratio(a, held[1][g]) >= least}
+    return {g for g, a in held[0].items() if a * m > held[1].get(g, 0.0) * n and ratio(a, held[1].get(g, 0.0)) >= least}
 
 
 def passages(text: str, grams: set[bytes], margin: int = MARGIN) -> list[bytes]:
@@ -107,55 +117,66 @@ def passages(text: str, grams: set[bytes], margin: int = MARGIN) -> list[bytes]:
     return out
 
 
-def _distinct(texts: list[str]) -> list[int]:
-    """Places of texts that share neither of their two smallest shingle hashes with an earlier one: copies of one text
-    must not count as many texts that agree."""
-    seen: set[int] = set()
-    keep = []
+def copies(texts: list[str]) -> list[int]:
+    """A number for each text, the same for texts that are linked by one of their two smallest shingle hashes."""
+    group, first = list(range(len(texts))), {}
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
     for i, t in enumerate(texts):
-        low = shingles(t)[:2].tolist()
-        if not seen.intersection(low):
-            keep.append(i)
-        seen.update(low)
-    return keep
+        for h in shingles(t)[:2].tolist():
+            j = first.setdefault(h, i)
+            a, b = sorted((top(i), top(j)))
+            group[b] = a
+    return [top(i) for i in range(len(texts))]
 
 
-def dictionaries(texts: list[str], labels: list[int], size: int = SIZE, trained: int = TRAINED) -> tuple[bytes, bytes]:
+def dictionaries(texts: list[str], labels: list[int], weights: list[float] | None = None, size: int = SIZE, trained: int = TRAINED, few: int = FEW) -> tuple[bytes, bytes]:
     """The ordinary dictionary, and the toxic one with the ordinary one after it."""
     import xxhash
     import zstandard as z
 
     def trained_on(samples: list[bytes], **how) -> bytes:
-        few = b" ".join(sorted(set(samples)))[-size:]
-        if sum(map(len, samples)) < FEW:  # too little to train on: the text itself
-            return few
+        itself = b" ".join(sorted(set(samples)))[-size:]
+        if sum(map(len, samples)) < few:
+            return itself
         try:
             return z.train_dictionary(size, samples, **how).as_bytes()
         except z.ZstdError:
-            return few
+            return itself
 
-    toxic, ordinary = ([t for t, y in zip(texts, labels, strict=True) if y == k] for k in (1, 0))
+    weights = weights or [1.0] * len(texts)
+    (toxic, wt), (ordinary, wo) = (([t for t, y in zip(texts, labels, strict=True) if y == k], [w for w, y in zip(weights, labels, strict=True) if y == k]) for k in (1, 0))
     plain = sorted((w for t in ordinary for w in windows(t)), key=xxhash.xxh3_64_intdigest)[:trained]
-    grams = toxic_grams(toxic, ordinary) if toxic and ordinary else set()
+    grams = toxic_grams(toxic, ordinary, (wt, wo)) if toxic and ordinary else set()
     base = trained_on(plain) or b" " * 8
     return base, trained_on([p for t in toxic for p in passages(t, grams)], k=32, d=6) + b" " + base
 
 
 def fit(texts: list[str], labels: list[int], size: int = SIZE) -> Model:
     """Dictionaries from all rows; the calibration of each half with dictionaries of the other. One class alone gives that
-    class's constant score. A class weighs by the square root of how rare it is."""
-    keep = _distinct(texts)
-    texts, labels = [texts[i] for i in keep], [labels[i] for i in keep]
+    class's constant score. A class weighs by the square root of how rare it is, and copies of one text weigh as one, and
+    lie in one half."""
+    group = copies(texts)
+    held = Counter(group)
+    each = [1.0 / held[g] for g in group]
+    side = {g: i % 2 for i, g in enumerate(sorted(held))}
     x = np.zeros((max(1, len(texts)), 2 * len(GAINS) + 2))
     for half in (0, 1):
-        gauge = Gauge(*dictionaries(texts[1 - half :: 2], labels[1 - half :: 2], size))
-        for i in range(half, len(texts), 2):
-            x[i] = gauge.features(texts[i])
-    y = np.array(labels or [0], dtype=float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        other = [i for i, g in enumerate(group) if side[g] != half]
+        gauge = Gauge(*dictionaries([texts[i] for i in other], [labels[i] for i in other], [each[i] for i in other], size))
+        for i, g in enumerate(group):
+            if side[g] == half:
+                x[i] = gauge.features(texts[i])
+    y, weight = np.array(labels or [0], dtype=float), np.array(each or [1.0])
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-6
     z1 = np.c_[(x - mean) / scale, np.ones(len(x))]
-    share = min(max(y.mean(), 1e-9), 1 - 1e-9)
-    rows = np.where(y == 1, math.sqrt(0.5 / share), math.sqrt(0.5 / (1 - share)))
+    share = min(max(np.average(y, weights=weight), 1e-9), 1 - 1e-9)
+    rows = weight * np.where(y == 1, math.sqrt(0.5 / share), math.sqrt(0.5 / (1 - share)))
     prior = math.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)) if min(y.sum(), (1 - y).sum()) == 0 else 0.0
     beta = np.zeros(z1.shape[1])
     ridge = np.eye(len(beta)) * 1.0
@@ -170,7 +191,7 @@ def fit(texts: list[str], labels: list[int], size: int = SIZE) -> Model:
             if np.abs(step).max() < 1e-6:
                 break
     beta[-1] += prior
-    return Model(*dictionaries(texts, labels, size), mean, scale, beta)
+    return Model(*dictionaries(texts, labels, each, size), mean, scale, beta)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
