@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources import shards, token_shards, tokens
+from ..sources import sealed, shards, token_shards, tokens
 from ..sources.tables import shared_path
 from .catalogue import query, table
 
@@ -88,3 +88,37 @@ def ordered_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = token_shards.examples(spark, path, split)
         rows = part if rows is None else rows.union(part)
     return tokens.ordered_digest(rows, "split", "ordinal", _ids_hash())
+
+
+def _snapshot(spark: SparkSession, docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+    """Documents as tasks, their beginnings as candidates, labels as observations: a problem is a language, source and length,
+    a fingerprint the text."""
+    split = F.when(F.col("lang") == "en", "train").otherwise("dev")
+    tasks = docs.select(F.col("doc_id").alias("task_id"), split.alias("split"), F.col("lang").alias("family"), F.md5("text").alias("input"))
+    candidates = docs.select(F.col("doc_id").alias("task_id"), F.substring("text", 1, 40).alias("plan"))
+    problem = F.concat_ws("/", "lang", "source", F.col("n_chars").cast("string"))
+    seen = labels.join(docs, "doc_id").select(F.col("doc_id").alias("order"), F.col("doc_id").alias("task_id"), "source", problem.alias("problem"), F.md5("text").alias("fingerprint"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("passed"))
+    return sealed.seal(seen, tasks, candidates, path, SHARD_BYTES)
+
+
+@query("""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, lang || '/' || source || '/' || n_chars AS problem, md5(text) AS fingerprint, CASE WHEN lang = 'en' THEN 'train' ELSE 'dev' END AS split, row_number() OVER (ORDER BY doc_id) AS k FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0),
+w(k, doc_id, used_a, used_b, ok) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false UNION ALL
+SELECT d.k, d.doc_id, CASE WHEN f THEN list_append(used_a, problem) ELSE used_a END, CASE WHEN f THEN list_append(used_b, fingerprint) ELSE used_b END, f
+FROM (SELECT used_a, used_b, d.*, NOT list_contains(used_a, problem) AND NOT list_contains(used_b, fingerprint) AS f FROM w JOIN d ON d.k = w.k + 1) d)
+SELECT doc_id AS task_id, split, problem, fingerprint FROM w JOIN d USING (doc_id) WHERE ok""")
+def sealed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a snapshot in shards selects, after it was verified; problems and fingerprints are different keys."""
+    path = shared_path(spark, "sealed")
+    _snapshot(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), path)
+    return sealed.sealed(spark, path).select("task_id", "split", "problem", "fingerprint")
+
+
+@query("""WITH d AS (SELECT doc_id % 2 AS c, source, lang || '/' || source || '/' || n_chars AS problem, md5(text) AS fingerprint FROM documents JOIN labels USING (doc_id)),
+k AS (SELECT c, 'source' AS name, source AS value FROM d UNION ALL SELECT c, 'problem', problem FROM d UNION ALL SELECT c, 'fingerprint', fingerprint FROM d)
+SELECT name, value FROM k GROUP BY name, value HAVING count(DISTINCT c) > 1""")
+def collection_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps two snapshots, of even and of odd documents, from being one collection; told by their stored keys alone."""
+    docs, labels, home = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shared_path(spark, "components")
+    for c in (0, 1):
+        _snapshot(spark, docs.where(F.col("doc_id") % 2 == c), labels.where(F.col("doc_id") % 2 == c), f"{home}/{c}")
+    return sealed.shared_guards(spark, [f"{home}/0", f"{home}/1"])

@@ -142,10 +142,11 @@ class _Part(InputPartition):
 
 
 class ShardReader(DataSourceReader):
-    """A partition for each shard; what differs from the inventory is an error that names it."""
+    """A partition for each shard; what differs from the inventory is an error that names it, unless `checked` is off: then
+    a shard gives what can be read of it."""
 
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, checked: bool = True):
+        self.uri, self.checked = uri, checked
 
     def partitions(self) -> list[_Part]:
         return [_Part(s) for s in manifest(self.uri)["shards"]]
@@ -155,18 +156,22 @@ class ShardReader(DataSourceReader):
             return
         fs, root = filesystem(self.uri)
         shard = partition.shard
-        why = fault(fs, root, shard)
+        why = fault(fs, root, shard) if self.checked else None
         if why:
             raise ValueError(f"{shard['path']}: {why}")
-        with fs.open_input_stream(f"{root}/{shard['path']}", compression="gzip") as raw:
-            lines, at = [], 0
-            for line in io.BufferedReader(raw):
-                lines.append(line[:-1])
-                if len(lines) == 1000:
-                    yield _batch(shard["path"], at, lines)
-                    at, lines = at + len(lines), []
-            if lines:
-                yield _batch(shard["path"], at, lines)
+        lines, at = [], 0
+        try:
+            with fs.open_input_stream(f"{root}/{shard['path']}", compression="gzip") as raw:
+                for line in io.BufferedReader(raw):
+                    lines.append(line[:-1])
+                    if len(lines) == 1000:
+                        yield _batch(shard["path"], at, lines)
+                        at, lines = at + len(lines), []
+        except OSError:
+            if self.checked:
+                raise
+        if lines:
+            yield _batch(shard["path"], at, lines)
 
 
 def _batch(path: str, at: int, lines: list[bytes]) -> pa.RecordBatch:
@@ -182,7 +187,7 @@ class ShardSource(DataSource):
         return _ROW
 
     def reader(self, schema) -> ShardReader:
-        return ShardReader(self.options["path"])
+        return ShardReader(self.options["path"], self.options.get("checked", "true") == "true")
 
     def writer(self, schema, overwrite: bool) -> ShardWriter:
         return ShardWriter(self.options["path"], int(self.options["limit"]), self.options["prefix"])
@@ -243,10 +248,10 @@ def read_index(spark: SparkSession, uri: str, kind: str) -> DataFrame:
     return spark.read.schema(f"key {kind}, path string, row_index long").parquet(f"{uri}/_index")
 
 
-def read_shards(spark: SparkSession, uri: str) -> DataFrame:
-    """(path, row_index, line) of committed shards, each of which is checked before its first row is given."""
+def read_shards(spark: SparkSession, uri: str, checked: bool = True) -> DataFrame:
+    """(path, row_index, line) of committed shards, each of which is checked before its first row is given, if `checked`."""
     spark.dataSource.register(ShardSource)
-    return spark.read.format("jsonl_shards").load(uri)
+    return spark.read.format("jsonl_shards").option("checked", str(checked).lower()).load(uri)
 
 
 def shard_faults(spark: SparkSession, uri: str) -> DataFrame:
