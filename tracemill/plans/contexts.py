@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import linkage, replay
-from ..streaming import context
+from ..sources.tables import shared_path
+from ..streaming import archive, context
 from .catalogue import query, table
 
 BUDGET, SENTENCE, SUMMARY = 2400, 80, 400
@@ -109,3 +110,26 @@ def replay_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded events, some of them altered or missing, held against their transcripts."""
     said = table(spark, sf_dir, "conversations")
     return replay.replayed(context.messages_of(said), altered(context.context_events(said, POLICY)))
+
+
+# Conversations as attempts: an answer to the fifth turn or a later one ends the attempt, what comes after it is refused.
+_EVENTS = "SELECT conv_id AS attempt_id, turn AS sequence, CASE WHEN role = 'assistant' AND turn >= 5 THEN 'finish' ELSE role END AS kind, text AS payload FROM conversations"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_EVENTS}),
+w(attempt_id, n_events, head, sealed) AS (SELECT DISTINCT attempt_id, CAST(0 AS BIGINT), repeat('0', 64), false FROM e UNION ALL
+SELECT e.attempt_id, n_events + 1, sha256(head || '|' || e.sequence || '|' || coalesce(e.kind, '') || '|' || coalesce(e.payload, '')), e.kind = 'finish' FROM w JOIN e ON e.attempt_id = w.attempt_id AND e.sequence = w.n_events WHERE NOT sealed),
+a AS (SELECT attempt_id, max(n_events) AS n_events, max_by(head, n_events) AS head, bool_or(sealed) AS sealed FROM w GROUP BY attempt_id),
+t AS (SELECT *, attempt_id % 20 AS task_id, CASE WHEN attempt_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split, sealed AND attempt_id % 3 > 0 AS ok FROM a)
+SELECT attempt_id, task_id, split, n_events, head, CASE WHEN NOT sealed THEN 'incomplete' WHEN ok AND attempt_id = min(attempt_id) FILTER (WHERE ok) OVER (PARTITION BY task_id, split) THEN 'admitted' ELSE 'kept' END AS state FROM t""")
+def attempt_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of attempts whose events a stream appends to an archive."""
+    path = f"{sf_dir}/conversations*.parquet"
+    said = spark.read.parquet(path)
+    stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    kind = F.when((F.col("role") == "assistant") & (F.col("turn") >= 5), "finish").otherwise(F.col("role"))
+    events = stream.select(F.col("conv_id").alias("attempt_id"), F.col("turn").cast("long").alias("sequence"), kind.alias("kind"), F.col("text").alias("payload"))
+    links = archive.append(spark, events, shared_path(spark, "archive"), "finish")
+    split = F.when(F.col("attempt_id") % 5 == 0, "dev").otherwise("train")
+    attempts = said.select(F.col("conv_id").alias("attempt_id")).distinct().select("attempt_id", (F.col("attempt_id") % 20).alias("task_id"), split.alias("split"), (F.col("attempt_id") % 3 > 0).alias("success"))
+    return archive.export(links, attempts, "finish")
