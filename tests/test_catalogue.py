@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracemill.plans import audit, catalogue, contexts, families, ordered, reports, sharded, stored, texts, training  # noqa: F401
+from tracemill.plans import audit, catalogue, contexts, contracts, families, ordered, reports, sharded, stored, texts, training  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 
