@@ -124,5 +124,4 @@ both(
     "selection_key",
     "WITH f AS (SELECT source, lang, AVG(CAST(quality AS DOUBLE)) AS m FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source, lang), r AS (SELECT source, ROUND(MIN(m), 9) AS worst, ROUND(AVG(m), 9) AS mean, COUNT(*) AS families FROM f GROUP BY source) SELECT source, worst, mean, CAST(ROW_NUMBER() OVER (ORDER BY worst DESC, mean DESC, source) AS BIGINT) AS place FROM r WHERE families = (SELECT COUNT(DISTINCT lang) FROM {documents})",
 )
-both("sorted_export", "SELECT doc_id, lang, CAST(ROW_NUMBER() OVER (PARTITION BY lang, doc_id % 256 ORDER BY doc_id) AS BIGINT) AS place FROM {documents}")
 both("best_active", "SELECT lang, max(struct(n_chars, doc_id)).doc_id AS doc_id FROM {documents} WHERE n_chars < 5000 GROUP BY lang", "SELECT lang, doc_id FROM (SELECT lang, doc_id, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id DESC) AS k FROM documents WHERE n_chars < 5000) WHERE k = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chain import fold_chain
+from ..operators.fold import running_count, stretched
 from ..operators.select import greedy_two_keys
 from ..streaming.journal import run_stream
 from .catalogue import both, query, table
@@ -73,6 +74,22 @@ def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_two_keys(docs, "doc_id", "identity", "fingerprint")
 
 
+@query("SELECT s_name, ROW_NUMBER() OVER (ORDER BY s_name, s_suppkey) AS place FROM supplier")
+def name_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the order of names: ranges of names are sorted apart, and their counts give the offsets."""
+    rows = table(spark, sf_dir, "supplier").select(F.lit(0).alias("all"), "s_name", "s_suppkey")
+    placed = running_count(stretched(rows, "all", ["s_name", "s_suppkey"]), "all", ["s_name", "s_suppkey"], F.lit(True), "before")
+    return placed.select("s_name", (F.col("before") + 1).alias("place"))
+
+
+@query("SELECT doc_id, lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents")
+def sorted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each document in its language's export, sorted by id; a language of any size lies in many ranges."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    placed = running_count(stretched(rows, "lang", ["doc_id"]), "lang", ["doc_id"], F.lit(True), "before")
+    return placed.select("doc_id", "lang", (F.col("before") + 1).alias("place"))
+
+
 @query("SELECT page_id, CAST(contains(lower(html), '<html') AND contains(lower(html), '</html>') AS BOOLEAN) AS closed, CAST(contains(lower(html), '<script') AS BOOLEAN) AS scripted FROM pages")
 def svg_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("html")

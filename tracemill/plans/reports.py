@@ -7,10 +7,6 @@ from .catalogue import both
 both("revenue_total", "SELECT CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(38,4)) AS revenue FROM {lineitem}")
 both("average_price", "SELECT ROUND(CAST(SUM(CAST(p_retailprice AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*), 4) AS average_price FROM {part}")
 both("below_stock", "SELECT p_partkey, p_size FROM {part} WHERE p_size < 10")
-# places by blocks of names: counts of the blocks give the offsets, so that no task holds the whole table
-both("name_order", """WITH b AS (SELECT s_name, s_suppkey, substring(s_name, 1, 17) AS block FROM {supplier}), c AS (SELECT block, COUNT(*) AS n FROM b GROUP BY block),
-o AS (SELECT block, CAST(SUM(n) OVER (ORDER BY block) - n AS BIGINT) AS before FROM c)
-SELECT s_name, before + ROW_NUMBER() OVER (PARTITION BY b.block ORDER BY s_name, s_suppkey) AS place FROM b JOIN o ON b.block = o.block""", "SELECT s_name, ROW_NUMBER() OVER (ORDER BY s_name, s_suppkey) AS place FROM supplier")
 both("team_max", "SELECT c_mktsegment, GREATEST(MAX(c_acctbal), 0.0) AS highest FROM {customer} GROUP BY c_mktsegment")
 both("top_value", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")
 both("category_count", "SELECT COUNT(DISTINCT p_brand) AS categories FROM {part}")
