@@ -212,17 +212,24 @@ def _found(docs: DataFrame, bench: Benchmark, scratch: Scratch, least: int) -> t
 
         sieve, rid = Filter(bits.value), TaskContext.get().partitionId() << 36
         for batch in batches:
+            # the documents of a batch end to end: one pass for each mask, of which what spans two documents is left out
+            found = [hashes(t) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            tokens = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            hits: dict[int, dict[int, list[int]]] = {}
+            for mask, salt in masks:
+                h = spans(tokens, mask, salt)
+                on = sieve.passed(h)
+                doc = np.searchsorted(ends, on, "right") - 1
+                inside = on + len(mask) <= ends[doc + 1]
+                on, doc = on[inside], doc[inside]
+                for i, x, place in zip(doc.tolist(), h[on].view(np.int64).tolist(), (on - ends[doc]).tolist(), strict=True):
+                    hits.setdefault(i, {}).setdefault(x, []).append(place)
             out = []
-            for doc, text, k1, k2 in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                tokens, at = hashes(text), {}
-                for mask, salt in masks:
-                    h = spans(tokens, mask, salt)
-                    on = sieve.passed(h)
-                    for x, place in zip(h[on].view(np.int64).tolist(), on.tolist(), strict=True):
-                        at.setdefault(x, []).append(place)
+            for i, (doc_id, k1, k2) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
                 rid += 1
-                if at:
-                    out.append((doc, k1, k2, rid, tokens.astype("<u8").tobytes(), [{"h": h, "there": places} for h, places in at.items()]))
+                if i in hits:
+                    out.append((doc_id, k1, k2, rid, found[i].astype("<u8").tobytes(), [{"h": h, "there": places} for h, places in hits[i].items()]))
             if out:
                 columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), hit), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "_k1", "_k2", "rid", "tokens", "hits"])
