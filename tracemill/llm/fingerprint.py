@@ -112,19 +112,20 @@ def fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
     are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    low = -(1 << 63)
-    rows = documents(docs).select(F.struct(F.coalesce("doc_id", F.lit(low)).alias("id"), F.xxhash64("text").alias("h")).alias("k"), "text")
-    texts = rows.groupBy("k").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    # one plain column in the order of ids, then hashes: 16 hexadecimal digits of each, the smallest id (or none) first
+    digits = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    rows = documents(docs).select(F.concat(digits(F.coalesce("doc_id", F.lit(-(1 << 63)))), digits(F.xxhash64("text"))).alias("k"), "doc_id", "text")
+    texts = rows.groupBy("k").agg(F.min("text").alias("text"))  # alike in both uses, so that it is shuffled once
     after = followers(rows, scratch)
-    most = rows.groupBy("k").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("most"))
+    most = rows.groupBy("k").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("most"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     heads = after.join(most, "k").join(texts.select(F.col("k").alias("next"), F.col("text").alias("other")), "next")
-    heads = heads.select("k", "next", F.substring("other", F.lit(1), F.col("most")).alias("other"))
+    heads = heads.select("k", "next", "doc_id", "copies", F.substring("other", F.lit(1), F.col("most")).alias("other"))
     both = texts.join(heads, "k")
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("other", F.lit(1), third))
-    both = both.select("k", "next", "copies", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    made = both.select("k", "next", "copies", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), order_minhash(F.col("text"), bins).alias("fingerprint"), order_minhash(F.col("edited"), bins).alias("edited_fingerprint"))
+    both = both.select("k", "next", "doc_id", "copies", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    made = both.select("k", "next", "doc_id", "copies", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), order_minhash(F.col("text"), bins).alias("fingerprint"), order_minhash(F.col("edited"), bins).alias("edited_fingerprint"))
     made = scratch.save(made, "prints")
     other = made.select(F.col("k").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
-    out = made.join(other, "next").select(F.when(F.col("k.id") != low, F.col("k.id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), bins).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), bins).alias("near_next"), "copies")
+    out = made.join(other, "next").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), bins).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), bins).alias("near_next"), "copies")
     return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "col")
