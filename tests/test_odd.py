@@ -21,7 +21,7 @@ def odd(spark, tmp_path_factory):
     return str(home), con
 
 
-@pytest.mark.parametrize("name", ["frozen_dataset", "sealed_selection"])
+@pytest.mark.parametrize("name", ["frozen_dataset", "sealed_selection", "collection_guards", "sealed_shards"])
 def test_odd_documents(spark, odd, name):
     got, want = catalogue.QUERIES[name](spark, odd[0]), odd[1].sql(catalogue.ORACLES[name])
     assert got.columns == want.columns

@@ -22,6 +22,7 @@ from .tokens import ordered_digest
 
 KINDS = {"tasks": "task_id", "candidates": "task_id", "observations": "order"}
 GUARDS = ("source", "problem", "fingerprint")
+_CHOSEN = "path string, row_index long, sha256 string, order long, task_id long, split string"
 _FAULT = "kind string, path string, row_index long, reason string"
 
 
@@ -34,21 +35,27 @@ def _shard_digests(rows: DataFrame) -> DataFrame:
     return ordered_digest(rows, "path", "row_index", F.col("sha256"))
 
 
-def rows_of(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(path, row_index, sha256, ...) of a kind: its rows with their places and digests."""
+def _stated(path: str) -> dict:
+    """What a snapshot says of itself: the schema of each kind, and whether its splits are apart."""
     fs, root = filesystem(f"{path}/schemas.json")
     with fs.open_input_stream(root) as f:
-        schema = StructType.fromJson(json.loads(f.read())[kind])
+        return json.loads(f.read())
+
+
+def rows_of(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, row_index, sha256, ...) of a kind: its rows with their places and digests."""
+    schema = StructType.fromJson(_stated(path)[kind])
     lines = read_shards(spark, f"{path}/{kind}", checked=False)
     return lines.select("path", "row_index", F.sha2("line", 256).alias("sha256"), F.from_json("line", schema).alias("r")).select("path", "row_index", "sha256", "r.*")
 
 
-def seal(observations: DataFrame, tasks: DataFrame, candidates: DataFrame, path: str, shard_bytes: int = LIMIT) -> DataFrame:
+def seal(observations: DataFrame, tasks: DataFrame, candidates: DataFrame, path: str, shard_bytes: int = LIMIT, apart: bool = True) -> DataFrame:
     """Write a snapshot, never over an existing one; returns its selection (split, path, row_index, sha256, order, task_id).
 
     tasks (task_id, split, ...), candidates (task_id, ...), observations (order, task_id, source, problem, fingerprint,
     passed, ...). ValueError for a task or candidate that is there twice, an observation without either, another split than
     train and dev, values of `problem` or `fingerprint` that succeed in both, and a split without a selected row.
+    With `apart` off, which the snapshot notes, the last two are no errors: the first success keeps a value from both splits.
     """
     spark = observations.sparkSession
     for name, rows in (("task", tasks), ("candidate", candidates)):
@@ -62,7 +69,7 @@ def seal(observations: DataFrame, tasks: DataFrame, candidates: DataFrame, path:
         places[kind] = held.select(F.col("key").alias("task_id"), F.col("path").alias(f"{kind}_path"), F.col("row_index").alias(f"{kind}_row"), F.col("sha256").alias(f"{kind}_sha256"))
     evidence = observations.drop("split").join(tasks.select("task_id", "split"), "task_id").join(places["tasks"], "task_id").join(places["candidates"], "task_id")
     write_shards(evidence, "order", f"{path}/observations", shard_bytes)
-    schemas = {"tasks": tasks.schema.jsonValue(), "candidates": candidates.schema.jsonValue(), "observations": evidence.schema.jsonValue()}
+    schemas = {"tasks": tasks.schema.jsonValue(), "candidates": candidates.schema.jsonValue(), "observations": evidence.schema.jsonValue(), "apart": apart}
     fs, root = filesystem(path)
     with fs.open_output_stream(f"{root}/schemas.json") as out:
         out.write(json.dumps(schemas).encode())
@@ -71,24 +78,24 @@ def seal(observations: DataFrame, tasks: DataFrame, candidates: DataFrame, path:
         rows.write.mode("errorifexists").parquet(f"{path}/digests/{kind}/rows")
         _shard_digests(spark.read.parquet(f"{path}/digests/{kind}/rows")).write.mode("errorifexists").parquet(f"{path}/digests/{kind}/shards")
     seen = rows_of(spark, path, "observations")
-    chosen = _selected(seen)
+    chosen = _selected(seen, apart)
     chosen.write.mode("errorifexists").partitionBy("split").parquet(f"{path}/selection")
     chosen = selection(spark, path)
     have = {r["split"] for r in chosen.select("split").distinct().collect()}
-    if have != set(SPLITS):
+    if apart and have != set(SPLITS):
         raise ValueError(f"a snapshot needs selected rows of {' and '.join(SPLITS)}; it has {sorted(have)}")
-    guards = seen.select("split", F.explode(F.array(*[F.struct(F.lit(g).alias("name"), F.col(g).cast("string").alias("value")) for g in GUARDS])).alias("k")).select("split", "k.*").where("value is not null").distinct()
+    guards = seen.select("split", F.explode(F.array(*[F.struct(F.lit(g).alias("name"), F.col(g).cast("string").alias("value")) for g in GUARDS])).alias("k")).select("split", "k.*").distinct()
     guards.sort("name", "value").write.mode("errorifexists").parquet(f"{path}/guards")
     return chosen
 
 
-def _selected(seen: DataFrame) -> DataFrame:
-    chosen = select(seen.select("order", "task_id", "problem", "fingerprint", "passed", "split", "path", "row_index", "sha256"))
+def _selected(seen: DataFrame, apart: bool) -> DataFrame:
+    chosen = select(seen.select("order", "task_id", "problem", "fingerprint", "passed", "split", "path", "row_index", "sha256"), apart)
     return chosen.select("path", "row_index", "sha256", "order", "task_id", "split")
 
 
 def selection(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/selection").select("split", "path", "row_index", "sha256", "order", "task_id")
+    return spark.read.schema(_CHOSEN).parquet(f"{path}/selection").select("split", "path", "row_index", "sha256", "order", "task_id")
 
 
 def digest(spark: SparkSession, path: str) -> str:
@@ -125,7 +132,7 @@ def faults(spark: SparkSession, path: str) -> DataFrame:
         held = observed.join(_digests(spark, path, kind).select(F.col("path").alias(f"{kind}_path"), F.col("row_index").alias(f"{kind}_row"), F.col("sha256").alias("_now")), [f"{kind}_path", f"{kind}_row"], "left")
         other = held.where(f"_now is null or _now <> {kind}_sha256")
         found.append(other.select(F.lit("observations"), "path", "row_index", F.lit(f"foreign {kind[:-1]}")))
-    stored, again = selection(spark, path), _selected(observed).select("split", "path", "row_index", "sha256", "order", "task_id")
+    stored, again = selection(spark, path), _selected(observed, _stated(path).get("apart", True)).select("split", "path", "row_index", "sha256", "order", "task_id")
     for rows, why in ((stored.exceptAll(again), "selected before"), (again.exceptAll(stored), "selected now")):
         found.append(rows.select(F.lit("selection"), "path", "row_index", F.lit(why)))
     return reduce(DataFrame.union, [f.toDF("kind", "path", "row_index", "reason") for f in found])
@@ -180,11 +187,17 @@ def copy(spark: SparkSession, source: str, target: str) -> DataFrame:
     return spark.createDataFrame(done, "file string, bytes long, sha256 string")
 
 
-def shared_guards(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(name, value) of guard keys that more than one snapshot has, or that two splits have, from the stored tables alone."""
+def shared_guards(spark: SparkSession, paths: list[str], within: bool = True, missing: bool = False) -> DataFrame:
+    """(name, value) of guard keys that more than one snapshot has, or, if `within`, two splits; from the stored tables alone.
+
+    A missing value is shared with no other, unless `missing` counts it as a value.
+    """
     each = [spark.read.parquet(f"{p}/guards").withColumn("component", F.lit(i)) for i, p in enumerate(paths)]
     union = reduce(DataFrame.union, each)
-    return union.groupBy("name", "value").agg(F.count_distinct("component").alias("n"), F.count_distinct("split").alias("splits")).where("n > 1 or (splits > 1 and name <> 'source')").select("name", "value")
+    if not missing:
+        union = union.where("value is not null")
+    crossing = "n > 1 or (splits > 1 and name <> 'source')" if within else "n > 1"
+    return union.groupBy("name", "value").agg(F.count_distinct("component").alias("n"), F.count_distinct("split").alias("splits")).where(crossing).select("name", "value")
 
 
 def collect(spark: SparkSession, paths: list[str], target: str) -> DataFrame:
