@@ -201,6 +201,15 @@ def test_packing_letters_before_marks():
         assert e.encode(word) == np.array(want.ids, "<u4").tobytes(), word
 
 
+def test_packing_learns_plain_words_from_the_model_alone():
+    with open(packing.vocabulary(), encoding="utf-8") as f:
+        text = f.read()
+    e, x = packing.Encoder(text, entries=4), "Unheard quillybrask, wordlets quillybrask ofthereblewh. " * 3 + "wordlets; a zz!"
+    want = np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    e.tokenizer = None
+    assert [e.encode(t) for t in (x, "other things", "more. again", x)][::3] == [want, want]
+
+
 def test_packing_of_other_tokenizers(docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -61,14 +61,18 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        #: The same model without a normalizer, which has nothing to do on lower-cased ASCII letters.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.entries = entries
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.marks = {m.encode(): self._ids([m])[0] for m in self.MARKS}
         self.letters: dict[str, bool] = {}
+        self.apart: set[str] = set()
         parts = json.loads(tokenizer_json)
         split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         drops = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -82,9 +86,9 @@ class Encoder:
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _letters(self, words: list[str], tokenizer=None) -> list[bytes]:
         """As `_ids` for words of letters alone: as one text, cut after each id that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array((tokenizer or self.tokenizer).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
         if len(ends) != len(words):
             return self._ids(words)
@@ -98,39 +102,44 @@ class Encoder:
         stem = stem.decode()
         if not stem.isalpha():
             return False
+        if self.apart.issuperset(stem):
+            return True
         for c in set(stem).difference(self.letters):
             found = self._ids([c, *(c + m.decode() for m in self.marks)])
             self.letters[c] = all(both == found[0] + mark for mark, both in zip(self.marks.values(), found[1:], strict=True))
+            if self.letters[c]:
+                self.apart.add(c)
         return all(map(self.letters.__getitem__, stem))
 
     def _learn(self, words: set[bytes]) -> None:
         cache, old, marks = self.cache, self.old, self.marks
-        stems: dict[bytes, list[tuple[bytes, bytes]]] = defaultdict(list)
-        alone, mixed = [], []
-        for word in words:
-            if word in old:
-                cache[word] = old[word]
-                continue
-            stem, tail = word, marks.get(word[-1:], b"")
-            if tail:
-                stem = word[:-1]
-            apart = self._apart(stem)
-            if not apart:
-                stem, tail = word, b""
-            found = cache.get(stem) or old.get(stem)
-            if found is not None:
-                cache[word] = found + tail
+        again = old.keys() & words
+        cache.update(zip(again, map(old.__getitem__, again), strict=True))
+        words = words.difference(again)
+        letters = list(filter(bytes.isalpha, words))  # most words: they need no look at each
+        stems: set[bytes] = set()
+        marked, mixed, others = [], [], []
+        for word in words.difference(letters):
+            tail = marks.get(word[-1:])
+            stem = word[:-1] if tail else word
+            if not self._apart(stem):
+                mixed.append(word)
+            elif not tail:
+                others.append(word)
             else:
-                if stem not in stems:
-                    (alone if apart else mixed).append(stem)
-                stems[stem].append((word, tail))
-        for new, ids_of in ((alone, self._letters), (mixed, self._ids)):
+                marked.append((word, stem, tail))
+                stems.add(stem)
+        stems = stems.difference(letters).difference(others).difference(cache).difference(old)  # one by one: several at once walk through the caches
+        plain = list(filter(bytes.isalpha, stems))
+        letters += plain
+        others += stems.difference(plain)
+        for new, ids_of in ((letters, lambda part: self._letters(part, self.plain)), (others, self._letters), (mixed, self._ids)):
             for at in range(0, len(new), 10_000):
                 part = new[at : at + 10_000]
-                for stem, ids in zip(part, ids_of(list(map(bytes.decode, part))), strict=True):
-                    cache[stem] = ids
-                    for word, tail in stems[stem]:
-                        cache[word] = ids + tail
+                cache.update(zip(part, ids_of(list(map(bytes.decode, part))), strict=True))
+        for word, stem, tail in marked:
+            ids = cache.get(stem)
+            cache[word] = (old[stem] if ids is None else ids) + tail
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split: list[list[bytes] | None] = [t.encode().lower().split() if self.by_words and "<|" not in t and not _ODD_SPACE.search(t) else None for t in texts]
