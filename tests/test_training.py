@@ -102,6 +102,17 @@ def test_only_the_assistant_is_supervised(spark):
     assert rows.limit(1).select(encoding.padded(F.array(F.lit(7)), 3, 0).alias("x")).first().x == [7, 0, 0]
 
 
+def test_encoded_batches_are_bounded_by_tokens():
+    import numpy as np
+    import pyarrow as pa
+
+    said = pa.array([[{"role": "user", "content": "x"}]] * 5000, pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())])))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), said], ["key", "m"])
+    done = list(encoding.encoded(iter([rows, rows.slice(0, 0)]), lambda m: (np.ones(100, np.int32), np.ones(100, np.int32), None) if m else (None, None, "none")))
+    assert max(len(b.column(1).flatten()) for b in done) < encoding.TOKENS + 100
+    assert [k for b in done for k in b.column(0).to_pylist()] == list(range(5000))
+
+
 def _m(*said):
     return [{"role": r, "content": c} for r, c in said]
 

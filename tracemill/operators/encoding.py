@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORED = -100
+#: Tokens of an output batch, but for its last example: what a worker holds does not depend on how many rows it is given.
+TOKENS = 1 << 17
 _OUT = "key long, input_ids array<int>, labels array<int>, reason string"
 
 
+def encoded(batches: Iterator[pa.RecordBatch], one: Callable[[list[dict]], tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, input_ids, labels, reason) of batches (key, messages), each example by `one`."""
+    for batch in batches:
+        out, start, held = [], 0, 0
+        for at in range(batch.num_rows):
+            out.append(one(batch.column(1)[at].as_py() or []))
+            held += 1 if out[-1][0] is None else len(out[-1][0])
+            if held >= TOKENS or at == batch.num_rows - 1:
+                ids, labels, why = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(out)), pa.array(ids, pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.int32())), pa.array(why, pa.string())], ["key", "input_ids", "labels", "reason"])
+                out, start, held = [], at + 1, 0
+
+
 def encode(traces: DataFrame, key: str, messages: str, tokenizer: str, limit: int, last_only: bool = False) -> DataFrame:
     """(key, input_ids, labels, reason) of traces whose `messages` are array<struct<role, content>>.
 
@@ -26,12 +42,9 @@ def encode(traces: DataFrame, key: str, messages: str, tokenizer: str, limit: in
         model = Tokenizer.from_file(tokenizer)
         model.no_truncation()
         model.encode_special_tokens = True
-        for batch in batches:
-            out = [one(model, m or []) for m in batch.column(1).to_pylist()]
-            ids, labels, why = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.int32())), pa.array(why, pa.string())], ["key", "input_ids", "labels", "reason"])
+        return encoded(batches, lambda said: one(model, said))
 
-    def one(model, said: list[dict]) -> tuple[list[int] | None, list[int] | None, str | None]:
+    def one(model, said: list[dict]) -> tuple[np.ndarray | None, np.ndarray | None, str | None]:
         parts, spans, at = [], [], 0
         for i, m in enumerate(said):
             head, body = f"{(m['role'] or '').upper()}:\n", f"{m['content'] or ''}\n"
@@ -49,7 +62,7 @@ def encode(traces: DataFrame, key: str, messages: str, tokenizer: str, limit: in
             labels.append(token if k < len(spans) and spans[k][0] <= start < end <= spans[k][1] else IGNORED)
         if all(x == IGNORED for x in labels[1:]):
             return None, None, "nothing to supervise"
-        return found.ids, labels, None
+        return np.array(found.ids, np.int32), np.array(labels, np.int32), None
 
     return traces.select(F.col(key).cast("long").alias("key"), F.col(messages)).mapInArrow(run, _OUT)
 
