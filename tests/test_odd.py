@@ -26,3 +26,10 @@ def test_odd_documents(spark, odd, name):
     got, want = catalogue.QUERIES[name](spark, odd[0]), odd[1].sql(catalogue.ORACLES[name])
     assert got.columns == want.columns
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_two_hop_searches_once(spark):
+    from tracemill.plans import texts
+
+    plan = texts.two_hop(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "regexp_extract(" not in plan

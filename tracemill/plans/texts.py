@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import top_matches
+from ..sources.tables import written
 from .catalogue import both, query, table
 
 TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9_]+', 0)"
@@ -61,7 +62,8 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def found(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return top_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n)
+    """The best documents of each item, written: few rows, whose known size lets joins with documents leave these in place."""
+    return written(top_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n), "found")
 
 
 @query(SEARCH + "SELECT item_id, doc_id, score, place FROM r WHERE place <= 5")
@@ -98,6 +100,7 @@ def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document names a word, its first long one; the second hop is the first other document with that word."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     first = found(spark, sf_dir, 1).join(docs, "doc_id").select("item_id", F.col("doc_id").alias("first_doc"), F.regexp_extract(F.lower("text"), LONG, 1).alias("word"))
+    first = written(first, "first")  # used twice
     held = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
     pairs = first.join(held, "word").where("doc_id <> first_doc").groupBy("item_id").agg(F.min("doc_id").alias("second_doc"))
     return first.join(pairs, "item_id", "left").select("item_id", "first_doc", "word", "second_doc")
