@@ -33,3 +33,14 @@ def test_two_hop_searches_once(spark):
 
     plan = texts.two_hop(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "regexp_extract(" not in plan
+
+
+def test_ids_are_made_after_rows_are_numbered(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tracemill.sources import tokens
+
+    rows = spark.createDataFrame([("train", i, 0, i) for i in range(9)], "split string, row_ordinal long, event int, x int")
+    tokens.write_tokens(rows, f"{tmp_path}/t", lambda r: r.withColumn("input_ids", F.array("x")).withColumn("labels", F.array("x")).drop("x"))
+    assert "input_ids" not in spark.read.parquet(f"{tmp_path}/t/unnumbered").columns
+    assert [r.input_ids for r in tokens.read_tokens(spark, f"{tmp_path}/t", 9).orderBy("ordinal").collect()] == [[i] for i in range(9)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,11 @@ def unpack_example(data: bytes) -> tuple[list[int], list[int], list[int]]:
     return tuple(part.tolist() for part in np.frombuffer(data[8:], "<i4").reshape(3, n))
 
 
-def write_tokens(examples: DataFrame, path: str) -> None:
+def write_tokens(examples: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """examples (split, row_ordinal, event, input_ids, labels), numbered by row_ordinal and event within each split.
 
-    Numbers are given by ranges of row_ordinal, so that no split is sorted in one place: counts of the ranges give offsets.
+    `encode` makes input_ids and labels of rows that come without; it runs once, after rows are numbered, so that the smaller
+    rows are dealt. Numbers are given by ranges of row_ordinal, so that no split is sorted in one place: counts of the ranges give offsets.
     """
     ranged = examples.repartitionByRange("split", "row_ordinal").withColumn("_part", F.spark_partition_id())
     ranged.write.mode("errorifexists").parquet(f"{path}/unnumbered")
@@ -39,7 +40,7 @@ def write_tokens(examples: DataFrame, path: str) -> None:
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("split").orderBy("_part")) - F.col("_n")).drop("_n")
     inside = F.row_number().over(Window.partitionBy("split", "_part").orderBy("row_ordinal", "event")) - 1
     numbered = rows.withColumn("_in", inside).join(F.broadcast(before), ["split", "_part"]).withColumn("ordinal", (F.col("_before") + F.col("_in")).cast("long"))
-    numbered.drop("_part", "_in", "_before").write.mode("errorifexists").partitionBy("split").parquet(f"{path}/rows")
+    encode(numbered.drop("_part", "_in", "_before")).write.mode("errorifexists").partitionBy("split").parquet(f"{path}/rows")
 
 
 def violations(rows: DataFrame, vocabulary: int) -> DataFrame:
@@ -47,19 +48,22 @@ def violations(rows: DataFrame, vocabulary: int) -> DataFrame:
     one, events rise within a row, ids are in the vocabulary, labels are the id or ignored and some label is not."""
     # neighbours by a join on the ordinal: a window would sort a whole split in one task
     previous = rows.select("split", (F.col("ordinal") + 1).alias("ordinal"), F.col("row_ordinal").alias("_row"), F.col("event").alias("_event"))
-    held = rows.join(previous, ["split", "ordinal"], "left")
-    step = F.col("row_ordinal") - F.col("_row")
-    reasons = {
-        "ordinal": (F.col("ordinal") < 0) | ((F.col("ordinal") > 0) & F.col("_row").isNull()),
-        "row_ordinal": F.coalesce((step != 0) & (step != 1), F.lit(False)),
-        "event": F.coalesce((step == 0) & (F.col("event") <= F.col("_event")), F.lit(False)),
+    own = {
         "vocabulary": F.exists("input_ids", lambda t: (t < 0) | (t >= vocabulary)),
         "length": F.size("input_ids") != F.size("labels"),
         "label": F.exists(F.zip_with("input_ids", "labels", lambda i, y: (y != IGNORED) & (y != i)), lambda x: x),
         "unsupervised": ~F.exists("labels", lambda y: y != IGNORED),
     }
-    why = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in reasons.items()]))
-    return held.select("split", "ordinal", F.explode(why).alias("reason"))
+    named = lambda found: F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in found.items()]))
+    # what a row shows by itself is told before the join, which moves no arrays of ids
+    held = rows.select("split", "ordinal", "row_ordinal", "event", named(own).alias("_own")).join(previous, ["split", "ordinal"], "left")
+    step = F.col("row_ordinal") - F.col("_row")
+    places = {
+        "ordinal": (F.col("ordinal") < 0) | ((F.col("ordinal") > 0) & F.col("_row").isNull()),
+        "row_ordinal": F.coalesce((step != 0) & (step != 1), F.lit(False)),
+        "event": F.coalesce((step == 0) & (F.col("event") <= F.col("_event")), F.lit(False)),
+    }
+    return held.select("split", "ordinal", F.explode(F.concat(named(places), "_own")).alias("reason"))
 
 
 def read_tokens(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
